@@ -133,7 +133,7 @@ def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, norm double")
 
 
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 5, rerank: int = 100, block: int = 4096) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 5, rerank: int = 256, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query (vec_id, embedding) by cosine.
 
     rerank is the number of candidates of a block that are ranked exactly, for each query; it is no limit on

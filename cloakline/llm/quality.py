@@ -41,11 +41,12 @@ COUNTS = ("q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words
 RATES = {
     "word_length": ("q_word_chars", "q_words", 3.0, True),
     "symbols": ("q_symbols", "q_words", 0.25, False),
-    "dup_lines": ("q_dup_lines", "q_lines", 0.3, False),
+    "dup_lines": ("q_dup_lines", "q_lines", 0.3, False),  # of PRIOR_LINES more lines: one line that recurs in a short text is no fault
     "repeats": ("q_repeat_words", "q_words", 0.1, False),
     "upper": ("q_upper", "q_letters", 0.3, False),
 }
 GAMMA = 1.02
+PRIOR_LINES = 10
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def counted(docs: DataFrame, *carried: str) -> DataFrame:
 
 def _rate(name: str) -> F.Column:
     top, below, _, _ = RATES[name]
-    return F.col(top) / F.greatest(F.col(below), F.lit(1))
+    return F.col(top) / F.greatest(F.col(below) + (PRIOR_LINES if name == "dup_lines" else 0), F.lit(1))
 
 
 def _key(name: str) -> F.Column:
