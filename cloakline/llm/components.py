@@ -51,7 +51,7 @@ def components(links: DataFrame, finish: int = 15_000) -> DataFrame:
         n = links.count()
         if n <= finish:
             if n:
-                last = written(links.groupBy(F.lit(0)).applyInArrow(_forest_table, "node long, root long"), "roots")
+                last = written(links.groupBy(F.lit("all").alias("every")).applyInArrow(_forest_table, "node long, root long"), "roots")
                 found = last if found is None else _through(found, last)
             break
         hooks = written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks")
