@@ -85,17 +85,18 @@ def counts(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> list[np.nd
 def counted(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns of docs, lang and source, with COUNTS of the text."""
     columns = list(dict.fromkeys([*carried, "lang", "source"]))
-    plain = docs.select(*columns, F.col("text").alias("q_text")) if "text" not in columns else docs.select(*columns).withColumn("q_text", F.col("text"))
+    plain = docs.select(*dict.fromkeys([*columns, "text"]))
+    text, kept = plain.columns.index("text"), len(columns)
 
     def run(batches):
         for batch in batches:
-            data, offsets = arrow_bytes(batch.column(len(columns)))
+            data, offsets = arrow_bytes(batch.column(text))
             found = [counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets)]
             for (a, b), c in zip(pieces(offsets), found, strict=True):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, pa.int64()) for x in c]], [*columns, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *[pa.array(x, pa.int64()) for x in c]], [*columns, *COUNTS])
 
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema[:-1]] + [f"{c} long" for c in COUNTS])
+    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema[:kept]] + [f"{c} long" for c in COUNTS])
     failed = (F.col("q_words") < 10) | (100 * F.col("q_repeat_words") > 20 * F.col("q_words"))
     return plain.mapInArrow(run, schema).withColumn("q_failed", failed)
 

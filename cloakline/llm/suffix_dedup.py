@@ -398,6 +398,8 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     facts = written(copies.where("copies > 1").select("key", "copies").join(facts, "key", "full"), "facts")
 
     # equal texts: each window of one is in the other
+    if with_text:
+        slim = docs.select("doc_id", *carried, text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     rows = slim.join(facts, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     gone = F.coalesce(gone, F.lit(False))
@@ -406,7 +408,7 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []),
+        *([F.when(gone, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("kept")] if with_text else []),
     )
 
 
