@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import new_path
+from cloakline.llm.common import new_path, written
 
 END = "\r\n\r\n"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -196,11 +196,13 @@ def op1(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    got = assemble(read_warc(spark, path, with_payload=False))
+    got = written(assemble(written(read_warc(spark, path, with_payload=False), "records")), "captures")
     number = F.nullif(F.element_at("metadata", 1)["fields"]["page-id"], F.lit("")).cast("long")
     got = got.select(number.alias("page_id"), "capture_id", "response.payload_bytes", "response.payload_digest", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("to"))
     first = got.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
-    return got.join(first, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = got.where("to is null").withColumn("refers_to", F.lit(None).cast("long"))
+    return whole.select(columns).unionByName(got.join(first, "to", "inner").select(columns))
 
 
 OP1_SQL = """
