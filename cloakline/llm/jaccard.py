@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import arrow_bytes, pieces, written
+from cloakline.llm.common import arrow_bytes, dropped, pieces, written
 from cloakline.llm.components import components, forest, roots
 from cloakline.llm.textops import Words, mix, shingles
 
@@ -88,7 +88,7 @@ def _ask(batches, k: int, homes: int):
     for arrow in batches:
         data, offsets = arrow_bytes(arrow.column(1))
         ids = arrow.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        for a, b in pieces(offsets, 4 << 20):
+        for a, b in pieces(offsets, 2 << 20):
             for lo in range(a, b, 60_000):
                 hi = min(lo + 60_000, b)
                 yield _table(_asked(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids[lo:hi], (part << 32) + number, k, homes))
@@ -339,7 +339,7 @@ def _spread(column, n) -> F.Column:
 def linked(nodes: DataFrame, blocks: DataFrame, percent: int, tile: int, packs: int) -> DataFrame:
     """Links (a, b) with the components of all similar pairs of nodes in the same block."""
     held = nodes.join(blocks, "node").withColumn("size", (F.octet_length("codes") / 8).cast("long"))
-    held = written(held.select("node", "n", "codes", "size", "block"), "held")
+    every_node = held = written(held.select("node", "n", "codes", "size", "block"), "held")
     sizes = held.groupBy("block").agg(F.count("*").alias("m"), F.sum("size").alias("t"))
     # a tile holds `tile` nodes and a thousand times as many tokens at most
     sizes = written(sizes.select("block", "m", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("t") / (tile * 1000)), F.lit(1)).cast("int").alias("tiles")), "blocks")
@@ -348,7 +348,9 @@ def linked(nodes: DataFrame, blocks: DataFrame, percent: int, tile: int, packs:
     small = held.where("tiles = 1").groupBy(_spread(F.col("block"), F.lit(packs)).alias("pack")).applyInArrow(within, _LINK)
     large = held.where("tiles > 1")
     if not sizes.where("tiles > 1").limit(1).count():
-        return written(small, "links")
+        links = written(small, "links")
+        dropped(every_node)
+        return links
     tiles = large.withColumn("tile", _spread(F.col("node"), F.col("tiles")))
     inner = written(tiles.groupBy("block", "tile").applyInArrow(within, _LINK), "links")
     links = written(small.unionByName(inner), "links")
@@ -374,7 +376,9 @@ def linked(nodes: DataFrame, blocks: DataFrame, percent: int, tile: int, packs:
     outside = held.where("root <> main").withColumn("x", every("tiles")).withColumn("y", F.pmod(F.xxhash64(F.lit(57), "node"), F.col("outers")).cast("int")).withColumn("outer", F.lit(True))
     names = ["node", "n", "codes", "block", "x", "y", "outer"]
     rest = inside.select(names).unionByName(outside.select(names)).groupBy("block", "x", "y").applyInArrow(lambda t: _across(t, percent), _LINK)
-    return written(links.unionByName(rest), "links")
+    links = written(links.unionByName(rest), "links")
+    dropped(every_node)
+    return links
 
 
 def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, frequent: int = 6, combine: int = 160, tile: int = 1024, home_bytes: int = 8 << 20) -> DataFrame:
@@ -397,8 +401,10 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, frequent:
     # the smallest node of a block is in it as well
     blocks = written(found.select("node", F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct()), "blocks")
     joined = written(components(linked(nodes.select("node", "n", "codes"), blocks, percent, tile, homes)), "joined")
+    slim = written(rows.select("doc_id", "n", "node"), "slim")
+    for table in (rows, nodes):  # all that was made from them is written
+        dropped(table)
 
-    slim = rows.select("doc_id", "n", "node")
     known = slim.where("n > 0").join(joined, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = written(known.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = known.join(least, "root").select("doc_id", "n", "component_id")

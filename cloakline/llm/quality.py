@@ -141,7 +141,9 @@ def thresholds(sketch: DataFrame, least: int = 100, spread: float = 6.0) -> Data
 
 def judged(docs: DataFrame, *carried: str, least: int = 100, spread: float = 6.0) -> DataFrame:
     """The carried columns with COUNTS, q_failed (the base rule) and q_kept (the verdict)."""
-    rows = written(counted(docs, *carried), "counts")
+    rows = counted(docs, *carried)
+    if "text" not in carried:  # texts are counted twice rather than written once more
+        rows = written(rows, "counts")
     fences = written(thresholds(written(sketches(rows), "sketches"), least, spread), "fences")
     known = rows.withColumn("q_lang", _key("lang")).withColumn("q_source", _key("source")).join(fences, ["q_lang", "q_source"], "left")
     good = F.lit(True)

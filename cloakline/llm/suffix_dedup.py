@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import arrow_bytes, pieces, written
+from cloakline.llm.common import arrow_bytes, dropped, pieces, written
 from cloakline.llm.textops import BYTE, mix, span_hash, sums
 
 
@@ -357,7 +357,7 @@ def _removed(batches, with_text: bool):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 64, with_text: bool = False, home_bytes: int = 8 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 64, with_text: bool = False, home_bytes: int = 8 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text, with_text).
 
     Removed is each byte of a string of `width` bytes that also starts
@@ -396,6 +396,8 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     done = done.mapInArrow(lambda x: _removed(x, with_text), "key long, n_removed long, n_spans long, kept_sha256 string, kept string")
     facts = done.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
     facts = written(copies.where("copies > 1").select("key", "copies").join(facts, "key", "full"), "facts")
+    for table in (told, held):  # all that was made from them is written
+        dropped(table)
 
     # equal texts: each window of one is in the other
     if with_text:
