@@ -367,7 +367,8 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.select(F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    slim = docs.select("doc_id", *carried, F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    aside = [F.col(c).alias(f"_carried{i}") for i, c in enumerate(carried)]  # names that can't clash
+    slim = docs.select("doc_id", *aside, F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     slim = written(slim, "texts")
     total = slim.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // home_bytes))
@@ -401,12 +402,12 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
 
     # equal texts: each window of one is in the other
     if with_text:
-        slim = docs.select("doc_id", *carried, text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+        slim = docs.select("doc_id", *aside, text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     rows = slim.join(facts, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     gone = F.coalesce(gone, F.lit(False))
     return rows.select(
-        "doc_id", *carried, "n_bytes",
+        "doc_id", *[F.col(f"_carried{i}").alias(c) for i, c in enumerate(carried)], "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
