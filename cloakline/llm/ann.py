@@ -66,7 +66,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
-def codebooks(x: np.ndarray, books: int = 8, words: int = 64, rounds: int = 3, seed: int = 1) -> np.ndarray:
+def codebooks(x: np.ndarray, books: int = 16, words: int = 64, rounds: int = 3, seed: int = 1) -> np.ndarray:
     """Codebooks (book, word, dimension) fitted to the rows of x."""
     rng = np.random.default_rng(seed)
     found, left = [], x.copy()
