@@ -42,7 +42,7 @@ RATES = {
     "word_length": ("q_word_chars", "q_words", 3.0, True),
     "symbols": ("q_symbols", "q_words", 0.25, False),
     "dup_lines": ("q_dup_lines", "q_lines", 0.3, False),  # of PRIOR_LINES more lines: one line that recurs in a short text is no fault
-    "repeats": ("q_repeat_words", "q_words", 0.1, False),
+    "repeats": ("q_repeat_words", "q_words", 0.2, False),
     "upper": ("q_upper", "q_letters", 0.3, False),
 }
 GAMMA = 1.02
