@@ -42,13 +42,13 @@ IP = r"(?P<value>(?:\d{1,3}\.){3}\d{1,3}|(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4
 IMEI = r"(?:IMEI[:\s]?)?(?P<value>\d{15})"
 URL = r"(?P<value>https?://\S+|(?:\w+\.com/\w+)|(?:@\w+))"
 CASE_SUBTYPES = {
-    "civil": r"\b[IVX]{1,3}\s+(?:C|Nc|GC|Ns|Co)\s+\d{1,5}/\d{2,4}\b",
-    "criminal": r"\b[IVX]{1,3}\s+(?:K|Ko|Kp)\s+\d{1,5}/\d{2,4}\b",
-    "prosecutor": r"\b(?:PR\s+\d+\s+)?Ds\.\s?\d{1,6}\.\d{2,4}\b",
-    "police": r"\bRSD[\s-]\d{1,6}[/-]\d{2,4}\b",
-    "administrative": r"\b(?:[IVX]{1,3}\s+SA/[A-Za-z]{2,3}|[IVX]{1,3}\s+OSK)\s+\d{1,5}/\d{2,4}\b",
-    "supreme": r"\b(?:[IVX]{1,3}\s+CSK|KIO)\s+\d{1,5}/\d{2,4}\b",
-    "bailiff": r"\b(?:G)?Km[p]?\s+\d{1,6}/\d{2,4}\b",
+    "cywilne_gospodarcze": r"\b[IVX]{1,3}\s+(?:C|Nc|GC|Ns|Co)\s+\d{1,5}/\d{2,4}\b",
+    "karne": r"\b[IVX]{1,3}\s+(?:K|Ko|Kp)\s+\d{1,5}/\d{2,4}\b",
+    "prokuratorskie": r"\b(?:PR\s+\d+\s+)?Ds\.\s?\d{1,6}\.\d{2,4}\b",
+    "policyjne": r"\bRSD[\s-]\d{1,6}[/-]\d{2,4}\b",
+    "administracyjne": r"\b(?:[IVX]{1,3}\s+SA/[A-Za-z]{2,3}|[IVX]{1,3}\s+OSK)\s+\d{1,5}/\d{2,4}\b",
+    "sn_kio": r"\b(?:[IVX]{1,3}\s+CSK|KIO)\s+\d{1,5}/\d{2,4}\b",
+    "komornicze": r"\b(?:G)?Km[p]?\s+\d{1,6}/\d{2,4}\b",
 }
 CASE_NUMBER = "|".join(f"(?:{p})" for p in CASE_SUBTYPES.values())
 
@@ -126,7 +126,7 @@ LABELS = {
     "legal_role_person": "Osoba", "institution": "instytucja", "ip_address": "adres IP", "imei": "IMEI", "url": "adres URL",
     "birth_date": "data urodzenia", "amount": "kwota",
 }
-NUMBER, NO_NUMBER, LEAVE = "number", "no_number", "leave"
+NUMBER, NO_NUMBER, LEAVE = "usun_i_numeruj", "usun_bez_numeru", "zostaw"
 POLICIES = {category: NUMBER for category in LABELS} | {"date": LEAVE, "amount": NO_NUMBER}
 
 # --- fixed values: Polish words

@@ -58,7 +58,7 @@ def test_addresses():
 
 def test_case_numbers():
     text = "I C 123/24, II K 45/24, PR 1 Ds. 123.2026, RSD-123/26, II SA/Wa 123/24, KIO 123/24, Km 123/24"
-    assert [k for *_, k in d.case_numbers(text)] == ["civil", "criminal", "prosecutor", "police", "administrative", "supreme", "bailiff"]
+    assert [k for *_, k in d.case_numbers(text)] == ["cywilne_gospodarcze", "karne", "prokuratorskie", "policyjne", "administracyjne", "sn_kio", "komornicze"]
     assert d.case_numbers("12.03.2024, 601 234 567") == []
 
 
