@@ -106,8 +106,8 @@ def parse_records(lines):
             body.append(line)
             left -= len(line) + 1
             if left <= 0:
-                block = b"\n".join(body)
-                yield head, block[: len(block) + left + 1] if left < -1 else block
+                block = b"\n".join(body) + b"\n"
+                yield head, block[: len(block) + left]
                 head = body = None
         elif head is None:
             if line.startswith(b"WARC/"):

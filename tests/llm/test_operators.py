@@ -69,6 +69,19 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert by["2"]["response"]["payload_bytes"] == 4
 
 
+def test_warc_blocks_that_end_in_line_ends(spark, tmp_path):
+    blocks = [b"abc", b"abc\n", b"abc\r\n", b"\n", b"a\n\n", b"", b"\r\n\r\n", b"a\nb"]
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    assert [b for _, b in warc.parse_records(("f", x) for x in data.split(b"\n"))] == blocks
+    htmls = ["<p>x</p>\n", "<p>x</p>\r\n", "<p>x</p>", "\n", "\r\n\r\n", "\r", " ", "<p>x</p>\r\n\r\n"]
+    df = spark.createDataFrame([(i, f"http://{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    warc.write_warc(df.repartition(2), str(tmp_path / "w"))
+    got = {int(r["metadata"][0]["fields"]["page-id"]): r["response"] for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
+    for i, h in enumerate(htmls):
+        assert (bytes(got[i]["payload"]), got[i]["payload_bytes"]) == (h.encode(), len(h.encode()))
+        assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
