@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakline.functions import canonical, checksums, dates, fixed, text
 from cloakline.operators import detectors, evaluate, label, names, resolve, review, spans
-from cloakline.plans import deidentify
+from cloakline.plans import deidentify, planted
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,7 +252,7 @@ def queries() -> dict:
         "check_pesel": check_pesel, "check_nip": check_nip, "check_regon": check_regon, "check_iban": check_iban, "check_id_card": check_id_card, "check_land_register": check_land_register,
         "canonical_forms": canonical_forms, "hmac_keys": hmac_keys, "shift_dates": shift_dates, "find_amounts": find_amounts, "surname_forms": surname_forms,
         "golden_recall": golden_recall, "golden_noise": golden_noise, "overlap_folds": overlap_folds,
-    }
+    } | planted.queries()
 
 
 def oracle_sql() -> dict:
@@ -265,4 +265,4 @@ def oracle_sql() -> dict:
         "number_conversations": NUMBER_SQL, "small_cells": SMALL_SQL, "polish_documents": POLISH_SQL,
         "check_pesel": PESEL_SQL, "check_nip": NIP_SQL, "check_regon": REGON_SQL, "check_iban": IBAN_SQL, "check_id_card": ID_CARD_SQL, "check_land_register": LAND_SQL,
         "canonical_forms": CANONICAL_SQL, "shift_dates": SHIFT_SQL, "find_amounts": AMOUNT_SQL, "surname_forms": _inflection_sql(),
-    }
+    } | planted.oracle_sql()
