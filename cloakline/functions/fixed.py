@@ -103,6 +103,7 @@ VIN_LETTERS = dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", (1, 2, 3, 4, 5, 6, 7, 8, 1, 2,
 CONFUSED = {"O": "0", "0": "O", "I": "1l", "l": "1I", "1": "Il", "S": "5", "5": "S", "B": "8", "8": "B", "Z": "2", "2": "Z"}
 MOST_CONFUSED = 2
 OCR_SCORE, BOOSTED_SCORE, GAZETTEER_SCORE, CONTEXT_CHARS = 0.4, 0.85, 0.5, 40
+ZERO_SHOT_THRESHOLD = 0.5
 
 # --- fixed values: words near an identifier that confirm it
 TRIGGERS = {

@@ -49,41 +49,97 @@ def email(n: Column) -> Column:
     return F.concat(F.lit("osoba"), n.cast("string"), F.lit("@example.com"))
 
 
+def iban(n: Column) -> Column:
+    """A valid Polish IBAN without spaces."""
+    body = F.concat(F.lit("1090"), F.lpad(F.pmod(n * 982451653 + 12345, F.lit(10**15)).cast("string"), 20, "0"))
+    rest = lambda b: F.lpad((98 - F.concat(b, F.lit("252100")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0")
+    return _bound(body, lambda b: F.concat(F.lit("PL"), rest(b), b))
+
+
+def id_card(n: Column) -> Column:
+    """A valid identity card number: letters, check digit, five digits."""
+    places = [F.pmod(F.floor(n / d), F.lit(26)).cast("int") for d in (1, 7, 31)]
+    digits = F.lpad(F.pmod(n * 7919, F.lit(10**5)).cast("string"), 5, "0")
+    total = sum(((p + 10) * w for p, w in zip(places, fixed.ID_CARD_WEIGHTS, strict=False)), F.lit(0))
+    total = total + sum((F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(fixed.ID_CARD_WEIGHTS[4:])), F.lit(0))
+    return F.concat(*[F.char(p + 65) for p in places], F.pmod(total, F.lit(10)).cast("string"), digits)
+
+
+def vin(n: Column) -> Column:
+    """A valid vehicle number: the ninth character is its check."""
+    body = F.concat(F.lit("WVWZZZ1J0AW"), F.lpad(F.pmod(n * 7919, F.lit(10**6)).cast("string"), 6, "0"))
+    digits = F.translate(body, "".join(fixed.VIN_LETTERS), "".join(map(str, fixed.VIN_LETTERS.values())))
+    rest = _bound(digits, lambda d: check_digits(d, fixed.VIN_WEIGHTS, 11))
+    return F.concat(F.substring(body, 1, 8), _bound(rest, lambda r: F.when(r == 10, "X").otherwise(r.cast("string"))), F.substring(body, 10, 8))
+
+
+def _one_of(n: Column, *options: str) -> Column:
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
+
+
+def entry(n: Column) -> Column:
+    """A number and year of a register."""
+    return F.concat((n % 9999 + 1).cast("string"), F.lit("/"), (n % 35 + 1990).cast("string"))
+
+
+def case_number(n: Column) -> Column:
+    return F.concat(_one_of(n, "I C", "II K", "III Ns", "V GC"), F.lit(" "), (n % 9999 + 1).cast("string"), F.lit("/"), (n % 15 + 10).cast("string"))
+
+
+def court(n: Column) -> Column:
+    return F.concat(_one_of(n, "Sąd Rejonowy", "Sąd Okręgowy", "Sąd Apelacyjny"), F.lit(" w "), _one_of(F.floor(n / 3), "Krakowie", "Łodzi", "Gdańsku", "Poznaniu"))
+
+
+def postal(n: Column) -> Column:
+    digits = F.lpad(F.pmod(n * 7907, F.lit(10**5)).cast("string"), 5, "0")
+    return F.concat(F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 3), F.lit(" "), _one_of(n, "Kraków", "Zielona Góra", "Łódź"))
+
+
+def person(n: Column) -> Column:
+    return F.concat(_one_of(n, "Anna", "Jan", "Łucja", "Piotr", "Maria"), F.lit(" "), _one_of(F.floor(n / 5), "Nowak", "Żak", "Kowalczyk", "Zając"))
+
+
 #: Document types: texts and, in braces, the entities that go into them.
 TEMPLATES = {
-    "appeal": "Apelacja. PESEL apelującego: {pesel}, adres poczty {email}.",
-    "enforcement": "Wniosek egzekucyjny. Dłużnik, NIP {nip}, telefon {phone}.",
-    "hearing": "Protokół rozprawy. Świadek podaje PESEL {pesel} i telefon {phone}.",
-    "inheritance": "Stwierdzenie nabycia spadku. PESEL spadkodawcy {pesel}.",
-    "judgment": "Wyrok w sprawie spółki, REGON {regon}, NIP {nip}.",
-    "lawsuit": "Pozew o zapłatę. PESEL powoda {pesel}, telefon {phone}, poczta {email}.",
-    "lease": "Umowa najmu. Najemca, PESEL {pesel}, poczta {email}.",
-    "notarial": "Akt notarialny. Stawający okazuje PESEL {pesel} oraz NIP {nip}.",
-    "payment": "Wezwanie do zapłaty dla firmy o REGON {regon}, telefon {phone}.",
-    "power": "Pełnomocnictwo. Mocodawca, PESEL {pesel}, telefon {phone}.",
+    "appeal": "Apelacja od wyroku o sygnaturze {case_number}. PESEL apelującego: {pesel}, adres poczty {email}.",
+    "enforcement": "Wniosek egzekucyjny. Dłużnik, NIP {nip}, telefon {phone}, prowadzi rachunek {iban}.",
+    "hearing": "Protokół rozprawy. Staje świadek {person}, podaje PESEL {pesel} i telefon {phone}.",
+    "inheritance": "Stwierdzenie nabycia spadku. Dołączono akt zgonu nr {usc_act}. PESEL spadkodawcy {pesel}.",
+    "judgment": "Wyrok, który wydał {court}, w sprawie spółki, REGON {regon}, NIP {nip}.",
+    "lawsuit": "Pozew o zapłatę. Powód mieszka: {address}. PESEL powoda {pesel}, telefon {phone}, poczta {email}.",
+    "lease": "Umowa najmu pojazdu o numerze nadwozia {vehicle_vin}. Najemca, PESEL {pesel}, poczta {email}.",
+    "notarial": "Akt notarialny, Rep. A Nr {notarial_act}. Stawający okazuje dowód {id_card}, PESEL {pesel} oraz NIP {nip}.",
+    "payment": "Wezwanie do zapłaty na rachunek {iban} dla firmy o REGON {regon}, telefon {phone}.",
+    "power": "Pełnomocnictwo. Mocodawca, PESEL {pesel}, dowód {id_card}, telefon {phone}.",
 }
-MAKERS = {"pesel": pesel, "nip": nip, "regon": regon, "phone": phone, "email": email}
+MAKERS = {
+    "pesel": pesel, "nip": nip, "regon": regon, "phone": phone, "email": email, "iban": iban, "id_card": id_card, "vehicle_vin": vin, "case_number": case_number,
+    "usc_act": entry, "notarial_act": entry, "court": court, "address": postal, "person": person,
+}
+
+
+_ENTITIES = "array<struct<category:string,start:int,end:int,value:string>>"
 
 
 def golden(numbers: DataFrame, n: str = "id") -> DataFrame:
     """(doc_id, doc_type, text, entities): documents of all types in turn, with the places of their entities."""
     kinds = sorted(TEMPLATES)
-    numbers = numbers.select(n, *[maker(F.col(n)).alias(f"g_{name}") for name, maker in MAKERS.items()])
-    text, entities = None, None
-    for i, kind in enumerate(kinds):
-        parts, spans, at = [], [], F.lit(0)
-        for j, piece in enumerate(re.split(r"\{(\w+)\}", TEMPLATES[kind])):
-            value = F.col(f"g_{piece}") if j % 2 else F.lit(piece)
-            if j % 2:
-                spans.append(F.struct(F.lit(piece).alias("category"), at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value")))
-            parts.append(value)
-            at = at + F.length(value)
-        mine = F.col(n) % len(kinds) == i
-        whole, listed = F.concat(*parts), F.array(*spans)
-        text = F.when(mine, whole) if text is None else text.when(mine, whole)
-        entities = F.when(mine, listed) if entities is None else entities.when(mine, listed)
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col(n) % len(kinds) + 1).cast("int"))
-    return numbers.select(F.col(n).alias("doc_id"), kind.alias("doc_type"), text.alias("text"), entities.alias("entities"))
+    at = (F.col(n) % len(kinds) + 1).cast("int")
+    # texts and names of entities alternate
+    parts = F.array(*[F.array(*[F.lit(p) for p in re.split(r"\{(\w+)\}", TEMPLATES[k])]) for k in kinds])
+    values = F.create_map(*[x for name, maker in MAKERS.items() for x in (F.lit(name), maker(F.col(n)))])
+    rows = numbers.select(F.col(n).alias("doc_id"), F.element_at(F.array(*[F.lit(k) for k in kinds]), at).alias("doc_type"), F.element_at(parts, at).alias("parts"), values.alias("values"))
+    piece = lambda p, i: F.struct(F.when(i % 2 == 1, p).alias("category"), F.when(i % 2 == 1, F.col("values")[p]).otherwise(p).alias("value"))
+    rows = rows.select("doc_id", "doc_type", F.transform("parts", piece).alias("pieces"))
+
+    def step(a, m):
+        end = a["at"] + F.length(m["value"])
+        span = F.struct(m["category"].alias("category"), a["at"].alias("start"), end.alias("end"), m["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(m["category"].isNotNull(), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_ENTITIES).alias("out"))
+    text = F.array_join(F.transform("pieces", lambda m: m["value"]), "")
+    return rows.select("doc_id", "doc_type", text.alias("text"), F.aggregate("pieces", begin, step, lambda a: a["out"]).alias("entities"))
 
 
 def noised(value: Column, key: Column, substitutions: int = 1, seed: int = 0) -> Column:

@@ -74,6 +74,19 @@ def small_cells(counts: DataFrame, doc: str = "doc_id", policies: dict = fixed.P
     return rare.groupBy(doc).agg(F.array_sort(F.collect_set("category")).alias("rare"))
 
 
+def format_warnings(kind: Column, tracked_changes: Column, unprotected: Column, confidence: Column) -> Column:
+    """What a reviewer must know of a file: its kind's limits, changes in it that were tracked, protection that
+    was removed, and poor text recognition. Null stands for not known, and warns of nothing."""
+    say = lambda when, text: F.when(when, F.lit(text))
+    return F.array_compact(
+        F.array(
+            say(kind == "pdf", "the layout of a PDF is kept roughly"), say(kind == "image", "the text was recognised in an image"),
+            say(tracked_changes, "the file holds tracked changes"), say(unprotected, "protection against editing was removed"),
+            say(confidence < 60, "the text was recognised with low confidence"),
+        )
+    )
+
+
 def language_warnings(blocks: DataFrame, doc: str = "doc_id", block: str = "block_ix", chars: int = 5000) -> DataFrame:
     """(doc, polish): whether the first characters of a document's text look Polish."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(block, "text"))), lambda b: b["text"]), " ")

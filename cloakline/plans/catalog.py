@@ -215,6 +215,13 @@ def golden_recall(spark, sf_dir):
     return evaluate.recall(truth, replaced)
 
 
+def _golden_sql() -> str:
+    """Every planted entity is found."""
+    kinds = sorted(evaluate.TEMPLATES)
+    rows = [f"SELECT '{name}' AS category, count(*) AS planted, count(*) AS matched FROM orders WHERE o_orderkey % {len(kinds)} IN ({', '.join(str(i) for i, k in enumerate(kinds) if '{' + name + '}' in evaluate.TEMPLATES[k])})" for name in evaluate.MAKERS]
+    return " UNION ALL ".join(rows)
+
+
 def golden_noise(spark, sf_dir):
     """The same over PESEL numbers with one digit read as a letter."""
     rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), evaluate.noised(evaluate.pesel(F.col("c_custkey")), F.col("c_custkey")).alias("v"))
@@ -264,5 +271,5 @@ def oracle_sql() -> dict:
         "redact_email": "SELECT doc_id, regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+', '[adres e-mail]', 'g') AS text FROM documents",
         "number_conversations": NUMBER_SQL, "small_cells": SMALL_SQL, "polish_documents": POLISH_SQL,
         "check_pesel": PESEL_SQL, "check_nip": NIP_SQL, "check_regon": REGON_SQL, "check_iban": IBAN_SQL, "check_id_card": ID_CARD_SQL, "check_land_register": LAND_SQL,
-        "canonical_forms": CANONICAL_SQL, "shift_dates": SHIFT_SQL, "find_amounts": AMOUNT_SQL, "surname_forms": _inflection_sql(),
+        "canonical_forms": CANONICAL_SQL, "shift_dates": SHIFT_SQL, "find_amounts": AMOUNT_SQL, "surname_forms": _inflection_sql(), "golden_recall": _golden_sql(),
     } | planted.oracle_sql()

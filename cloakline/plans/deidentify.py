@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.functions import fixed
-from cloakline.operators import detectors, label, names, resolve, review
+from cloakline.operators import detectors, label, models, names, resolve, review
 
 
 @dataclass(frozen=True)
 class Options:
-    """Policies per category, shifting of dates, and gazetteers (token) for names without a role or model."""
+    """Policies per category, shifting of dates, gazetteers (token) for names and places, and providers of models.
+
+    entities is a model of persons, organisations and places; of the places,
+    those in cities are addresses. zero_shot gives candidates for review only.
+    """
 
     policies: dict = field(default_factory=lambda: dict(fixed.POLICIES))
     shift_dates: bool = False
@@ -21,11 +25,21 @@ class Options:
     first_names: DataFrame | None = None
     surnames: DataFrame | None = None
     addresses: bool = True
+    entities: models.Provider | None = None
+    cities: DataFrame | None = None
+    zero_shot: models.Provider | None = None
 
 
 def detect(blocks: DataFrame, options: Options = Options(), keys: tuple = ("doc_id", "block_ix")) -> DataFrame:
     """blocks (keys, text) with resolved: the detections that stand, nested ones included."""
-    rows = detectors.detected(blocks, with_addresses=options.addresses)
+    rows, places = blocks, None
+    if options.entities is not None:
+        rows = models.entities(rows, options.entities)
+        if options.cities is not None:
+            rows, places = models.known_places(rows, options.cities, list(keys)), "places"
+    rows = detectors.detected(rows, with_addresses=options.addresses, places=places)
+    if options.entities is not None:
+        rows = models.with_model_detections(rows).drop("entities", "places")
     if options.first_names is not None and options.surnames is not None:
         rows = names.gazetteer_persons(rows, options.first_names, options.surnames, list(keys))
     person = F.exists("detections", lambda d: d["category"] == names.PERSON)
@@ -59,7 +73,10 @@ def results(blocks: DataFrame, options: Options = Options()) -> DataFrame:
     whole = text.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "anonymized"))), lambda b: b["anonymized"]), "\n\n").alias("text"))
     counts = label.entity_counts(spans)
     total = counts.groupBy("doc_id").agg(F.sum("entities").alias("entity_count"))
-    notes = review.uncertain(spans).groupBy("doc_id").agg(F.sort_array(F.collect_list("note")).alias("uncertain"))
+    notes = review.uncertain(spans).select("doc_id", "note")
+    if options.zero_shot is not None:
+        notes = notes.unionByName(models.candidate_notes(found, options.zero_shot, list(keys)).select("doc_id", "note"))
+    notes = notes.groupBy("doc_id").agg(F.sort_array(F.collect_list("note")).alias("uncertain"))
     missed = review.potentially_missed(found, list(keys))
     missed = missed.groupBy("doc_id", F.lower("note").alias("k")).agg(F.min(F.struct("block_ix", "start", "note")).alias("m"))
     missed = missed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["note"]).alias("potentially_missed"))
