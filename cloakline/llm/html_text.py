@@ -6,7 +6,8 @@ distribution is the sum of text lengths over windows of `width` lines (length
 of link text counts against a line). It surges where a window's sum passes the
 threshold and dives where it falls to zero; the text between a surge and the
 next dive is a region. The regions whose weight is near the heaviest one's are
-the main text. If the page marks its article, lines outside it weigh nothing,
+the main text, with what else stands in the container of the heaviest one's
+lines (an advert between paragraphs parts regions). If the page marks its article, lines outside it weigh nothing,
 and every line inside passes the threshold.
 
 Elements that never hold article text (scripts, navigation, forms, and those
@@ -47,6 +48,8 @@ BLOCKS = frozenset(
 )
 #: Elements at whose edges the page's structure breaks.
 SECTIONS = frozenset("article section main aside nav footer header body".split())
+#: Elements that hold blocks of one part of a page.
+CONTAINERS = frozenset("article section main div td center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark what isn't article text.
 HINTS = frozenset(
@@ -72,12 +75,14 @@ def _marked(tag: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Lines (empty: a break), characters of link text in each, and whether it stands in a marked article."""
-    lines, links, inside = [], [], []
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
+    """Lines (empty: a break), characters of link text in each, whether it stands in a marked article, and the
+    number of the container it stands in (0: none but the body)."""
+    lines, links, inside, homes = [], [], [], []
     block, linked = [], 0
     stack: list[tuple[str, bool]] = []  # element, whether it is dropped
-    dropped = in_link = in_article = 0
+    within = [0]  # numbers of the open containers
+    opened = dropped = in_link = in_article = 0
 
     def end(breaks: int = 0):
         nonlocal linked
@@ -87,12 +92,14 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 lines.append(text)
                 links.append(min(linked, len(text)))
                 inside.append(in_article > 0)
+                homes.append(within[-1])
             block.clear()
         linked = 0
         for _ in range(breaks):
             lines.append("")
             links.append(0)
             inside.append(in_article > 0)
+            homes.append(0)
 
     def pop():
         nonlocal dropped, in_link, in_article
@@ -104,6 +111,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 end(3 if tag in SECTIONS else 0)
             if tag in ("article", "main"):
                 in_article -= 1
+        if tag in CONTAINERS:
+            within.pop()
         if tag == "a":
             in_link -= 1
 
@@ -158,6 +167,9 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             continue
         if drop:
             dropped += 1
+        if tag in CONTAINERS:
+            opened += 1
+            within.append(opened)
         if tag == "a":
             in_link += 1
         stack.append((tag, drop))
@@ -166,14 +178,14 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     while stack:
         pop()
     end()
-    return lines, links, inside
+    return lines, links, inside, homes
 
 
 def main_text(page: str | None, width: int = 3, threshold: int = 40, share: float = 0.25) -> str:
     """The main text of a page: its blocks, joined by line ends."""
     if not page:
         return ""
-    lines, links, inside = lines_of(page)
+    lines, links, inside, homes = lines_of(page)
     if not lines:
         return ""
     marked = any(i and t for i, t in zip(inside, lines, strict=True))
@@ -193,8 +205,15 @@ def main_text(page: str | None, width: int = 3, threshold: int = 40, share: floa
         regions = [(best, best + width)]
     heavy = [int(weights[a:b].sum()) for a, b in regions]
     least = 0 if marked else share * max(heavy, default=0)
-    kept = [t for (a, b), h in zip(regions, heavy, strict=True) if h >= least for t, w in zip(lines[a:b], weights[a:b], strict=True) if t and w]
-    return "\n".join(kept)
+    keep = np.zeros(len(lines), bool)
+    for (a, b), h in zip(regions, heavy, strict=True):
+        keep[a:b] |= h >= least
+    if regions and not marked:
+        a, b = regions[int(np.argmax(heavy))]
+        by_home = np.bincount(np.array(homes)[a:b], weights=weights[a : min(b, len(lines))])
+        if home := int(np.argmax(by_home)):
+            keep |= np.array(homes) == home
+    return "\n".join(t for t, k, w in zip(lines, keep, weights, strict=True) if k and w)
 
 
 def extracted(pages: DataFrame, width: int = 3, threshold: int = 40, share: float = 0.25) -> DataFrame:

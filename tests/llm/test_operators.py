@@ -121,6 +121,14 @@ def test_main_text_without_article_mark():
     assert html_text.main_text(page) == "\n".join(f"{words(40, i)}." for i in range(5))
 
 
+def test_main_text_of_a_container_parted_by_adverts():
+    long = [words(40, i) + "." for i in range(6)]
+    advert = "<div class='ad'>Buy it now, for a very good price indeed, or never</div>"
+    body = "".join(f"<p>{t}</p>" for t in long)
+    page = f"<body><p>Skip.</p><div><p>Not of it.</p></div><div id=main-text><h2>Head</h2>{advert}{body}{advert}<p>Short end.</p></div><div>Also not.</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", *long, "Short end."])
+
+
 def test_main_text_edges(spark):
     for page in (None, "", "<", "<p", "<!-- open", "<script>x", "plain", "<div>" * 500 + "deep" + "</div>" * 3, "</p></p>", "<p>&#0;&bogus;&amp;</p>"):
         html_text.main_text(page)
