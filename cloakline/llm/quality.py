@@ -6,7 +6,9 @@ of one percent. A sketch is a set of bins with counts, so sketches merge by
 adding counts: map-side partial sums are merged by the shuffle, those of the
 sources of a language make that language's sketch, and those of all languages
 the whole table's. A document is kept if every rate lies within fences around
-its group's median, set by the distance of its quartiles.
+its group's median, set by the distance of its quartiles. A small floor stands
+in where the quartiles (nearly) coincide, and a count that one chance event
+explains never fails a text, however short it is.
 
 Groups under `least` documents use their language's sketch, and a language
 under that number the whole table's.
@@ -37,16 +39,16 @@ _LETTER = _UPPER.copy()
 _LETTER[97:123] = True
 
 COUNTS = ("q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_lines", "q_upper", "q_letters")
-#: Rates: numerator, denominator, distance from the median that is always allowed, and whether a low rate also fails.
+#: Rates: numerator, denominator, least distance of a fence from the median (for groups whose quartiles coincide), the
+#: numerator up to which a high rate may be chance (one symbol, line, sentence said twice or acronym), and whether a low rate also fails.
 RATES = {
-    "word_length": ("q_word_chars", "q_words", 3.0, True),
-    "symbols": ("q_symbols", "q_words", 0.25, False),
-    "dup_lines": ("q_dup_lines", "q_lines", 0.3, False),  # of PRIOR_LINES more lines: one line that recurs in a short text is no fault
-    "repeats": ("q_repeat_words", "q_words", 0.2, False),
-    "upper": ("q_upper", "q_letters", 0.3, False),
+    "word_length": ("q_word_chars", "q_words", 0.25, 0, True),
+    "symbols": ("q_symbols", "q_words", 0.05, 1, False),
+    "dup_lines": ("q_dup_lines", "q_lines", 0.05, 1, False),
+    "repeats": ("q_repeat_words", "q_words", 0.05, 20, False),
+    "upper": ("q_upper", "q_letters", 0.02, 10, False),
 }
 GAMMA = 1.02
-PRIOR_LINES = 10
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -102,8 +104,8 @@ def counted(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def _rate(name: str) -> F.Column:
-    top, below, _, _ = RATES[name]
-    return F.col(top) / F.greatest(F.col(below) + (PRIOR_LINES if name == "dup_lines" else 0), F.lit(1))
+    top, below, *_ = RATES[name]
+    return F.col(top) / F.greatest(F.col(below), F.lit(1))
 
 
 def _key(name: str) -> F.Column:
@@ -133,8 +135,8 @@ def thresholds(sketch: DataFrame, least: int = 100, spread: float = 6.0) -> Data
     both = fine.alias("f").join(by_lang.alias("l"), ["q_lang", "rate"]).join(whole.alias("w"), ["rate"])
     used = F.when(F.col("f.size") >= least, three("f")).when(F.col("l.size") >= least, three("l")).otherwise(three("w"))
     both = both.select("q_lang", "q_source", "rate", used.alias("u"))
-    slack = F.create_map(*[x for name, r in RATES.items() for x in (F.lit(name), F.lit(r[2]))])
-    width = F.greatest(spread * (F.col("u.q3") - F.col("u.q1")), slack[F.col("rate")])
+    floor = F.create_map(*[x for name, r in RATES.items() for x in (F.lit(name), F.lit(r[2]))])
+    width = F.greatest(spread * (F.col("u.q3") - F.col("u.q1")), floor[F.col("rate")])
     fence = F.struct((F.col("u.q2") - width).alias("low"), (F.col("u.q2") + width).alias("high"))
     return both.groupBy("q_lang", "q_source").agg(F.map_from_entries(F.collect_list(F.struct("rate", fence.alias("fence")))).alias("q_fences"))
 
@@ -147,9 +149,9 @@ def judged(docs: DataFrame, *carried: str, least: int = 100, spread: float = 6.0
     fences = written(thresholds(written(sketches(rows), "sketches"), least, spread), "fences")
     known = rows.withColumn("q_lang", _key("lang")).withColumn("q_source", _key("source")).join(fences, ["q_lang", "q_source"], "left")
     good = F.lit(True)
-    for name, (_, _, _, both) in RATES.items():
+    for name, (top, _, _, chance, both) in RATES.items():
         fence = F.col("q_fences")[name]
-        good = good & F.coalesce(_rate(name) <= fence["high"], F.lit(True))
+        good = good & F.coalesce((_rate(name) <= fence["high"]) | (F.col(top) <= chance), F.lit(True))
         if both:
             good = good & F.coalesce(_rate(name) >= fence["low"], F.lit(True))
     return known.withColumn("q_kept", ~F.col("q_failed") & good).drop("q_lang", "q_source", "q_fences")
