@@ -4,18 +4,21 @@ A text becomes symbols: an added space, then its characters, spaces written as
 the vocabulary's space mark. Adjacent symbols whose concatenation is a piece
 are candidate merges; the agenda takes the candidate of the highest score,
 leftmost first. A candidate (place of its left symbol, left piece, right piece)
-is skipped for good if a hash keyed by the seed, the segment and the segment's
-variant falls under the dropout rate. Characters that no piece holds become
+is skipped for good if a hash keyed by the seed, the doc_id and the place in the
+text falls under the dropout rate, so every occurrence draws for itself. Characters that no piece holds become
 byte pieces. Decoding is the concatenation of the pieces' bytes without the
 added space, so it gives any text back, whatever was skipped.
 
 No piece of a vocabulary with words split at spaces reaches over a space after
 another character, so such a place parts the text into segments that are
-merged each for itself (this is checked against the vocabulary). Equal segments
-of the same variant have equal merges; there are `variants` variants, and which
-one a segment gets is a keyed hash of the doc_id and the segment's number. Short
-segments are merged many at a time, longer ones one by one with a heap; the
-merges are the same.
+merged each for itself (this is checked against the vocabulary). Merges depend on
+the segment and on which of the candidates that come up are skipped. They are kept
+by these two, with all candidates that came up, so that an occurrence whose draws
+on these candidates give the same skips has the same merges; if they give others,
+it goes on with those. Each round follows the occurrence's own merges further, so
+the end is what merging it alone gives. Segments of over SHORT symbols, which
+hardly ever draw alike, are merged alone. Short segments are merged many at a
+time, longer ones one by one with a heap; the merges are the same.
 
 Defined results. Null or empty text: no pieces. Null doc_id: as 0. The mark
 itself in a text, and bytes that are no UTF-8, become byte pieces and come back.
@@ -40,6 +43,7 @@ MARK = 0x2581
 _NONE = np.int64(1) << 40
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 WIDEST = 32
+SHORT = 6
 
 
 class Vocabulary:
@@ -122,35 +126,43 @@ class Vocabulary:
         return out
 
 
-def _dropped(key, place, a, b, bound: np.uint64):
-    return mix(key + place.astype(np.uint64) * _C[1] + a.astype(np.uint64) * _C[2] + b.astype(np.uint64) * _C[3]) < bound
+def _candidate(place, a, b):
+    return place.astype(np.uint64) * _C[1] + a.astype(np.uint64) * _C[2] + b.astype(np.uint64) * _C[3]
 
 
 class Encoder:
-    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 11, variants: int = 4, keep: int = 1 << 19):
+    """With variants, equal segments draw alike in so many ways; without, each occurrence draws for itself."""
+
+    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 11, variants: int | None = None, keep: int = 1 << 19):
         self.v, self.variants, self.keep = Vocabulary(model), variants, keep
         self.seeds = np.uint64(seed) * _C[:2]
         self.bound = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         self._forget()
 
     def _forget(self):
-        self.keys, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Of segments with their skips: where the pieces and the candidates that came up stand in two flat arrays."""
+        self.keys, self.flat, self.cands = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.start, self.count, self.cand_start, self.cand_count = (np.zeros(0, np.int64) for _ in range(4))
 
-    def _ranks(self, key, place, a, b):
+    def _ranks(self, key, place, a, b, rows=None, seen=None):
+        """Ranks of the merges; skipped are those that key draws or, if it has one more dimension, that it lists."""
         r = self.v.rank(a, b)
         if self.bound:
             real = r < _NONE
-            key = np.broadcast_to(key, r.shape)
-            skip = _dropped(key[real], place[real], a[real], b[real], self.bound)
+            cand = _candidate(place[real], a[real], b[real])
+            key = np.broadcast_to(key, r.shape + key.shape[r.ndim :])[real]
+            skip = mix(key + cand) < self.bound if key.ndim == 1 else (key == cand[:, None]).any(1)
+            if seen is not None:
+                seen.append((np.broadcast_to(rows, r.shape)[real], cand))
             r[real] = np.where(skip, _NONE, r[real])
         return r
 
-    def _matrix(self, symbols: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    def _matrix(self, symbols: np.ndarray, keys: np.ndarray, names: np.ndarray, seen: list | None) -> list[np.ndarray]:
         """Merges rows of symbols of one length, each step one merge in each row that has one."""
         n, width = symbols.shape
         out, rows = [None] * n, np.arange(n)
         a, place = symbols, np.broadcast_to(np.arange(width), symbols.shape).copy()
-        r = self._ranks(keys[:, None], place[:, :-1], a[:, :-1], a[:, 1:]) if width > 1 else np.zeros((n, 0), np.int64)
+        r = self._ranks(keys[:, None], place[:, :-1], a[:, :-1], a[:, 1:], names[:, None], seen) if width > 1 else np.zeros((n, 0), np.int64)
         while len(rows):
             best = r.argmin(1) if r.shape[1] else np.zeros(len(rows), np.int64)
             live = r[np.arange(len(rows)), best] < _NONE if r.shape[1] else np.zeros(len(rows), bool)
@@ -170,18 +182,17 @@ class Encoder:
                 ok = np.flatnonzero((at >= 0) & (at < r.shape[1]))
                 if len(ok):
                     c = at[ok]
-                    r[ok, c] = self._ranks(keys[ok], place[ok, c], a[ok, c], a[ok, c + 1])
+                    r[ok, c] = self._ranks(keys[ok], place[ok, c], a[ok, c], a[ok, c + 1], names[rows[ok]], seen)
         return out
 
-    def _heap(self, symbols: np.ndarray, key: np.uint64) -> np.ndarray:
+    def _heap(self, symbols: np.ndarray, key: np.ndarray, name: int, seen: list | None) -> np.ndarray:
         """The same merges of one long segment, by an agenda."""
         n, v = len(symbols), self.v
         piece, nxt, prv = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        keys = np.full(n - 1, key)
-        first = self._ranks(keys, np.arange(n - 1), symbols[:-1], symbols[1:])
+        one = np.asarray(key)[None]
+        first = self._ranks(one, np.arange(n - 1), symbols[:-1], symbols[1:], name, seen)
         agenda = [(int(x), i, piece[i], piece[i + 1]) for i, x in enumerate(first) if x < _NONE]
         heapq.heapify(agenda)
-        one = np.array([key])
         while agenda:
             rank, i, a, b = heapq.heappop(agenda)
             j = nxt[i]
@@ -193,7 +204,7 @@ class Encoder:
                 prv[nxt[j]] = i
             for x, y in ((prv[i], i), (i, nxt[i])):
                 if x >= 0 and y < n:
-                    r = int(self._ranks(one, np.array([x]), np.array([piece[x]]), np.array([piece[y]]))[0])
+                    r = int(self._ranks(one, np.array([x]), np.array([piece[x]]), np.array([piece[y]]), name, seen)[0])
                     if r < _NONE:
                         heapq.heappush(agenda, (r, x, piece[x], piece[y]))
         return np.array([p for p in piece if p >= 0], np.int64)
@@ -201,18 +212,18 @@ class Encoder:
     def _bytes(self, code: int) -> np.ndarray:
         return self.v.byte[np.frombuffer(chr(code).encode("utf-8", "surrogateescape"), np.uint8)]
 
-    def _merge(self, codes, symbols, start, length, keys) -> list[np.ndarray]:
+    def _merge(self, codes, symbols, start, length, keys, seen=None) -> list[np.ndarray]:
         out = [None] * len(start)
         for n in np.unique(length):
             rows = np.flatnonzero(length == n)
             if n == 1 or n > WIDEST:
                 for i in rows:
                     s = symbols[start[i] : start[i] + n]
-                    out[i] = self._heap(s, keys[i]) if n > 1 else s if s[0] >= 0 else self._bytes(int(codes[start[i]]))
+                    out[i] = self._heap(s, keys[i], i, seen) if n > 1 else s if s[0] >= 0 else self._bytes(int(codes[start[i]]))
                 continue
             for a in range(0, len(rows), 8192):
                 part = rows[a : a + 8192]
-                for i, got in zip(part, self._matrix(symbols[start[part][:, None] + np.arange(n)], keys[part]), strict=True):
+                for i, got in zip(part, self._matrix(symbols[start[part][:, None] + np.arange(n)], keys[part], part, seen), strict=True):
                     out[i] = got
         if self.v.char_of:  # characters that stayed alone but are no piece
             for i, x in enumerate(out):
@@ -240,34 +251,78 @@ class Encoder:
         start = np.flatnonzero(begins)
         length = np.diff(np.append(start, n))
         doc = np.searchsorted(ends, start, "right")
-        number = np.arange(len(start)) - np.searchsorted(doc, np.arange(len(texts)))[doc]
-        variant = mix(self.seeds[0] + doc_ids[doc].astype(np.uint64) * _C[1] + number.astype(np.uint64) * _C[2]) % np.uint64(self.variants)
         prefix = sums(mix((codes + 1).astype(np.uint64)))
-        keys = mix(span_hash(prefix, start, start + length) + variant * _C[3] + self.seeds[1])
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        self._learn(unique, first, codes, symbols, start, length)
-        where = np.searchsorted(self.keys, unique)
-        begin, count = self.start[where][inverse], self.count[where][inverse]
+        segment = mix(span_hash(prefix, start, start + length) + self.seeds[1])
+        if self.variants:
+            number = np.arange(len(start)) - np.searchsorted(doc, np.arange(len(texts)))[doc]
+            variant = mix(self.seeds[0] + doc_ids[doc].astype(np.uint64) * _C[1] + number.astype(np.uint64) * _C[2]) % np.uint64(self.variants)
+            keys = mix(segment + variant * _C[3])
+        else:
+            place = start - (ends - sizes)[doc]
+            keys = mix(mix(self.seeds[0] + doc_ids[doc].astype(np.uint64) * _C[1]) + place.astype(np.uint64) * _C[2] + self.seeds[1])
+        if len(self.keys) > self.keep:
+            self._forget()
+        begin, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        short = (length <= SHORT) | (self.bound == 0)
+        self._follow(np.flatnonzero(short), segment, keys, codes, symbols, start, length, begin, count)
+        flat = self.flat
+        alone = np.flatnonzero(~short)
+        if len(alone):
+            got = self._merge(codes, symbols, start[alone], length[alone], keys[alone])
+            count[alone] = [len(x) for x in got]
+            begin[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+            flat = np.concatenate([flat, *got])
         stop = np.cumsum(count)
-        ids = self.flat[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]))]
+        ids = flat[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]))]
         bounds = np.append(0, stop)[np.searchsorted(doc, np.arange(len(texts) + 1))]
         return ids, bounds
 
-    def _learn(self, unique, first, codes, symbols, start, length):
-        if len(self.keys) + len(unique) > self.keep:
-            self._forget()
+    def _follow(self, todo, segment, keys, codes, symbols, start, length, begin, count):
+        """Set where the pieces of the segments todo stand, by rounds: the skips that the last round's candidates draw."""
+        state = np.zeros(len(todo), np.uint64)  # sum of the hashes of the skips
+        owner, drawn = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the skips, by place in todo
+        while len(todo):
+            unique, first, inverse = np.unique(segment[todo] + state, return_index=True, return_inverse=True)
+            self._learn(unique, first, owner, drawn, codes, symbols, start[todo], length[todo])
+            where = np.searchsorted(self.keys, unique)[inverse]
+            begin[todo], count[todo] = self.start[where], self.count[where]
+            if not self.bound:
+                break
+            n = self.cand_count[where]
+            stop = np.cumsum(n)
+            owner = np.repeat(np.arange(len(todo)), n)
+            drawn = self.cands[np.repeat(self.cand_start[where] - (stop - n), n) + np.arange(int(stop[-1]))]
+            hit = np.flatnonzero(mix(keys[todo][owner] + drawn) < self.bound)
+            owner, drawn = owner[hit], drawn[hit]
+            total = np.append(np.uint64(0), np.cumsum(mix(drawn ^ _C[0]), dtype=np.uint64))
+            edges = np.searchsorted(owner, np.arange(len(todo) + 1))
+            now = total[edges[1:]] - total[edges[:-1]]
+            left = now != state
+            owner, drawn = (np.cumsum(left) - 1)[owner][left[owner]], drawn[left[owner]]
+            todo, state = todo[left], now[left]
+
+    def _learn(self, unique, first, owner, drawn, codes, symbols, start, length):
         at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), bool)
         if not new.any():
             return
-        rows = first[new]
-        got = self._merge(codes, symbols, start[rows], length[rows], unique[new])
-        count = np.array([len(x) for x in got])
-        begin = len(self.flat) + np.cumsum(count) - count
+        rows, seen = first[new], []
+        a, b = np.searchsorted(owner, rows), np.searchsorted(owner, rows, "right")
+        skips = np.zeros((len(rows), int((b - a).max())), np.uint64)
+        for k in range(skips.shape[1]):
+            has = np.flatnonzero(a + k < b)
+            skips[has, k] = drawn[a[has] + k]
+        got = self._merge(codes, symbols, start[rows], length[rows], skips, seen)
+        by = np.concatenate([np.zeros(0, np.int64), *[np.broadcast_to(x, c.shape) for x, c in seen]])
+        cands = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in seen]])[np.argsort(by, kind="stable")]
+        many = np.bincount(by, minlength=len(rows))
+        size = np.array([len(x) for x in got])
         keys = np.concatenate([self.keys, unique[new]])
-        order = np.argsort(keys)
-        self.keys, self.start, self.count = keys[order], np.concatenate([self.start, begin])[order], np.concatenate([self.count, count])[order]
-        self.flat = np.concatenate([self.flat, *got])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.start, self.count = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])[order], np.concatenate([self.count, size])[order]
+        self.cand_start, self.cand_count = np.concatenate([self.cand_start, len(self.cands) + np.cumsum(many) - many])[order], np.concatenate([self.cand_count, many])[order]
+        self.flat, self.cands = np.concatenate([self.flat, *got]), np.concatenate([self.cands, cands])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the texts of pieces laid end to end."""
@@ -285,7 +340,7 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, *carried: str, model: str = MODEL, dropout: float = 0.1, seed: int = 11, variants: int = 4, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, *carried: str, model: str = MODEL, dropout: float = 0.1, seed: int = 11, variants: int | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, the carried columns, n_pieces, ids_crc32, lossless and ids (null without with_ids).
 
     ids_crc32 is that of the ids as little-endian 32-bit numbers; lossless

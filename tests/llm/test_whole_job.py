@@ -1,8 +1,12 @@
 """What the review of the first round found cut short."""
 
+import collections
 import random
 
+import numpy as np
+
 from cloakline.llm import quality
+from cloakline.llm import sentencepiece_dropout as sp
 
 
 def words(n, seed):
@@ -31,3 +35,30 @@ def test_quality_fences_are_the_groups_own(spark):
     assert all(got[r[0]][1] for r in tight + wide) and got[7000][1]
     assert {k: got[k] for k in odd} == {k: (False, False) for k in odd}
     assert {k: got[k] for k in chance} == {k: (False, True) for k in chance}
+
+
+# ---------------------------------------------------------------- SentencePiece
+
+
+def test_merge_dropout_draws_for_each_occurrence(monkeypatch):
+    """Words of one candidate vary everywhere at the rate, variety grows with the input, and what is kept changes nothing."""
+    n = 4000
+    coder = sp.Encoder(sp.model_bytes())
+    ids, at = coder.encode(["to " * n, "to " * n], np.array([1, 2]))
+    names = [coder.v.names[i] for i in ids]
+    plain, _ = sp.Encoder(sp.model_bytes(), 0.0).encode(["to " * n], np.array([1]))
+    assert collections.Counter(coder.v.names[i] for i in plain)["▁to"] == n
+    split = 1 - collections.Counter(names)["▁to"] / (2 * n)
+    forms = set()
+    for d in range(40):
+        ids, at = coder.encode([" ".join(["international"] * 50)], np.array([d]))
+        forms |= set(" ".join(coder.v.names[i] for i in ids).split("▁"))
+    assert 0.08 < split < 0.3 and len(forms) > 40
+    texts = [words(300, i) + " the of " * 50 for i in range(4)] * 2
+    one = sp.Encoder(sp.model_bytes(), 0.2).encode(texts, np.arange(8))
+    kept = sp.Encoder(sp.model_bytes(), 0.2, keep=10)
+    parts = [kept.encode([t], np.array([i]))[0] for i, t in enumerate(texts)]
+    assert np.concatenate(parts).tolist() == one[0].tolist()
+    monkeypatch.setattr(sp, "SHORT", 0)
+    alone = sp.Encoder(sp.model_bytes(), 0.2).encode(texts, np.arange(8))
+    assert alone[0].tolist() == one[0].tolist() and alone[1].tolist() == one[1].tolist()
