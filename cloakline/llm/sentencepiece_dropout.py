@@ -389,4 +389,4 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encoded(docs, with_ids=False).select("doc_id", "n_pieces", "ids_crc32", "lossless")
+    return encoded(docs).select("doc_id", "n_pieces", "ids_crc32", "lossless", "ids")

@@ -57,8 +57,8 @@ def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the number and checksum of their pieces, merged with dropout and decoded again."""
-    return encoded(docs, *docs.columns, with_ids=False).where("lossless").drop("ids")
+    """The documents with their pieces, the number and checksum of these, merged with dropout and decoded again."""
+    return encoded(docs, *docs.columns).where("lossless")
 
 
 STAGES = [

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from cloakline.llm import quality
 from cloakline.llm import sentencepiece_dropout as sp
 
@@ -62,3 +63,13 @@ def test_merge_dropout_draws_for_each_occurrence(monkeypatch):
     monkeypatch.setattr(sp, "SHORT", 0)
     alone = sp.Encoder(sp.model_bytes(), 0.2).encode(texts, np.arange(8))
     assert alone[0].tolist() == one[0].tolist() and alone[1].tolist() == one[1].tolist()
+
+
+def test_pieces_are_returned(spark):
+    """The pieces themselves come out of op4 and of the pipeline's last stage, and decode to the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    for out in (sp.op4(spark, "/root/testdata/sf0.001"), corpus_pipeline.pieces(spark, docs, "/root/testdata/sf0.001")):
+        assert dict(out.dtypes)["ids"] == "array<int>"
+        assert all(len(r.ids) == r.n_pieces for r in out.select("ids", "n_pieces").collect())
+        assert {r.doc_id: r.text for r in sp.decoded(out).collect()} == want
