@@ -10,9 +10,10 @@ the main text, with what else stands in the container of the heaviest one's
 lines (an advert between paragraphs parts regions). If the page marks its article, lines outside it weigh nothing,
 and every line inside passes the threshold.
 
-Elements that never hold article text (scripts, navigation, forms, and those
-whose class, id or role says advert, menu, sidebar, notice, comments and the
-like) are dropped while the markup is stripped.
+Elements that never hold article text (scripts, navigation, forms) are dropped
+while the markup is stripped. Blocks whose class, id or role as a whole says
+advert, menu, sidebar, notice, comments and the like are dropped when the page is
+known, unless they hold the page's article or most of its text.
 
 Defined results. Null or empty html: empty text. Unclosed elements end with
 the element around them. Repeated rows are extracted each for itself. Columns
@@ -62,25 +63,63 @@ HINTS = frozenset(
 _OWN = frozenset("article content main body story post entry text".split())
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
+#: Words beside a hint that leave a name a hint as a whole; a name with others ("has-sidebar") says something else.
+_BESIDE = frozenset(
+    "box boxes bar block blocks button buttons link links list lists item items icon icons section area unit units slot slots form top bottom left right "
+    "side site page post posts article articles entry story stories content body text main header head title inner panel card cards primary secondary sticky google x js".split()
+)
+
+
+def _hinted(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "main"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for m in _HINT.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = [w.lower() for w in _WORDS.findall(name)]
-            if any(w in HINTS for w in words) and not (words and words[-1] in _OWN and words[0] not in HINTS):
+            if any(w in HINTS for w in words) and all(w in HINTS or w in _BESIDE or w.isdigit() for w in words) and not (words[-1] in _OWN and words[0] not in HINTS):
                 return True
     return False
 
 
+def _dropped_hints(hints: list[tuple], weights: list[int], within: list[tuple], articles: list[tuple]) -> set[int]:
+    """The hinted blocks to drop, outer ones first. hints: the hinted blocks around each; within, articles: those
+    around each line. One stays if it, or an article in it, outweighs all text outside it, and articles outside
+    the hinted blocks have next to no text."""
+    drop: set[int] = set()
+    lines: list[list[int]] = [[] for _ in hints]
+    for i, around in enumerate(within):
+        if weights[i]:
+            for h in around:
+                lines[h].append(i)
+    total = sum(weights)  # of what is not dropped
+    for h, around in enumerate(hints):
+        if drop.intersection(around):
+            drop.add(h)
+            continue
+        here, inner = sum(weights[i] for i in lines[h]), {}
+        for i in lines[h]:
+            for a, over in articles[i]:
+                if h in over:
+                    inner[a] = inner.get(a, 0) + weights[i]
+        rest, core = total - here, max(inner.values(), default=0)
+        if here > rest or core >= rest and core:
+            free = sum(w for w, own, arts in zip(weights, within, articles, strict=True) if w and h not in own and not drop.intersection(own) and any(set(over) <= set(around) for _, over in arts))
+            if 10 * free < here:
+                continue
+        drop.add(h)
+        total = rest
+    return drop
+
+
 def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
     """Lines (empty: a break), characters of link text in each, whether it stands in a marked article, and the
     number of the container it stands in (0: none but the body)."""
     lines, links, inside, homes = [], [], [], []
     block, linked = [], 0
-    stack: list[tuple[str, bool]] = []  # element, whether it is dropped
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is dropped, hinted, an article
+    hints: list[tuple] = []  # the hinted blocks around each hinted block
+    in_hints: tuple = ()
+    hints_of, articles_of, in_articles, n_articles = [], [], (), 0
     within = [0]  # numbers of the open containers
     opened = dropped = in_link = in_article = 0
 
@@ -93,6 +132,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
                 links.append(min(linked, len(text)))
                 inside.append(in_article > 0)
                 homes.append(within[-1])
+                hints_of.append(in_hints)
+                articles_of.append(in_articles)
             block.clear()
         linked = 0
         for _ in range(breaks):
@@ -100,17 +141,22 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             links.append(0)
             inside.append(in_article > 0)
             homes.append(0)
+            hints_of.append(in_hints)
+            articles_of.append(in_articles)
 
     def pop():
-        nonlocal dropped, in_link, in_article
-        tag, drop = stack.pop()
+        nonlocal dropped, in_link, in_article, in_hints, in_articles
+        tag, drop, hint, article = stack.pop()
         if drop:
             dropped -= 1
         elif not dropped:
             if tag in BLOCKS:
                 end(3 if tag in SECTIONS else 0)
-            if tag in ("article", "main"):
+            if article:
                 in_article -= 1
+                in_articles = in_articles[:-1]
+        if hint:
+            in_hints = in_hints[:-1]
         if tag in CONTAINERS:
             within.pop()
         if tag == "a":
@@ -131,7 +177,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             continue
         tag = tag.lower()
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if any(t[0] == tag for t in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -153,16 +199,24 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        drop = False
+        drop = hint = article = False
         if not dropped:
-            drop = tag in DROPPED or tag == "header" and not in_article or _marked(tag, m[4])
+            hint = _hinted(tag, m[4])
+            drop = tag in DROPPED or tag == "header" and not in_article or bool(_HIDDEN.search(m[4]) and tag not in ("html", "body", "article", "main")) or hint and tag not in BLOCKS
+            hint = hint and not drop
             if drop:
                 if tag in BLOCKS:
                     end(3)
             elif tag in BLOCKS:
-                end(3 if tag in SECTIONS else 0)
-                if tag in ("article", "main"):
+                end(3 if tag in SECTIONS or hint else 0)
+                if hint:
+                    hints.append(in_hints)
+                    in_hints = (*in_hints, len(hints) - 1)
+                if tag in ("article", "main") and not hint:
+                    article = True
                     in_article += 1
+                    n_articles += 1
+                    in_articles = (*in_articles, (n_articles, in_hints))
         if m[4].endswith("/") and tag not in BLOCKS:
             continue
         if drop:
@@ -172,12 +226,17 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             within.append(opened)
         if tag == "a":
             in_link += 1
-        stack.append((tag, drop))
+        stack.append((tag, drop, hint, article))
     if at < len(page) and not dropped:
         block.append(page[at:])
     while stack:
         pop()
     end()
+    if hints:
+        weights = [max(len(t) - 2 * k, 0) for t, k in zip(lines, links, strict=True)]
+        gone = _dropped_hints(hints, weights, hints_of, articles_of)
+        left = [i for i, around in enumerate(hints_of) if not gone.intersection(around)]
+        lines, links, inside, homes = ([x[i] for i in left] for x in (lines, links, inside, homes))
     return lines, links, inside, homes
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from cloakline.llm import quality
+from cloakline.llm import html_text, quality
 from cloakline.llm import sentencepiece_dropout as sp
 
 
@@ -73,3 +73,20 @@ def test_pieces_are_returned(spark):
         assert dict(out.dtypes)["ids"] == "array<int>"
         assert all(len(r.ids) == r.n_pieces for r in out.select("ids", "n_pieces").collect())
         assert {r.doc_id: r.text for r in sp.decoded(out).collect()} == want
+
+
+# ---------------------------------------------------------------- HTML
+
+
+def test_hinted_wrappers_keep_their_article_and_comments_go():
+    text = [words(30, i) + "." for i in range(4)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    side = "<div class='sidebar'><p>Sidebar text which is long enough to surge in the distribution</p></div>"
+    comment = f"<article class='comment'><p>{words(40, 50)}</p></article>"
+    for name in ("class='has-sidebar'", "class=no-sidebar", "class='content-with-sidebar'", "class='layout sidebar-right'", "class=page-with-toc", "id='post-share-wrapper'", "class='sidebar-right'"):
+        for a, b in (("<article>", "</article>"), ("", "")):
+            for tail in (side, comment, f"<section id=comments>{comment}<p>{words(20, 51)}</p></section>"):
+                page = f"<body><div {name}>{a}{body}{b}{tail}</div></body>"
+                assert html_text.main_text(page) == "\n".join(text), page
+    long = "".join(f"<article><p>{words(90, 60 + i)}</p></article>" for i in range(5))
+    assert html_text.main_text(f"<body><article>{body}</article><div id=comments>{long}</div></body>") == "\n".join(text)
