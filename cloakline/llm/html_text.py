@@ -5,10 +5,11 @@ page's structure breaks: at dropped elements and at the edges of sections. The
 distribution is the sum of text lengths over windows of `width` lines (length
 of link text counts against a line). It surges where a window's sum passes the
 threshold and dives where it falls to zero; the text between a surge and the
-next dive is a region. The regions whose weight is near the heaviest one's are
-the main text, with what else stands in the container of the heaviest one's
-lines (an advert between paragraphs parts regions). If the page marks its article, lines outside it weigh nothing,
-and every line inside passes the threshold.
+next dive is a region. The heavy regions tell the main container: the innermost
+one that holds all their blocks, or, if that is a section with other sections of
+regions beside it, the one around these. All its lines are the main text, links
+and short ones too, and so are the heavy regions. If the page marks its article
+and this outweighs each region outside it, the marked lines are the main text.
 
 Elements that never hold article text (scripts, navigation, forms) are dropped
 while the markup is stripped. Blocks whose class, id or role as a whole says
@@ -111,9 +112,10 @@ def _dropped_hints(hints: list[tuple], weights: list[int], within: list[tuple],
     return drop
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[tuple[int, bool]]]:
     """Lines (empty: a break), characters of link text in each, whether it stands in a marked article, and the
-    number of the container it stands in (0: none but the body)."""
+    number of the container it stands in (0: none but the body; a break: -1); then of each container the one around it and
+    whether it is a section."""
     lines, links, inside, homes = [], [], [], []
     block, linked = [], 0
     stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is dropped, hinted, an article
@@ -121,6 +123,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
     in_hints: tuple = ()
     hints_of, articles_of, in_articles, n_articles = [], [], (), 0
     within = [0]  # numbers of the open containers
+    containers = [(0, False)]
     opened = dropped = in_link = in_article = 0
 
     def end(breaks: int = 0):
@@ -140,7 +143,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             lines.append("")
             links.append(0)
             inside.append(in_article > 0)
-            homes.append(0)
+            homes.append(-1)
             hints_of.append(in_hints)
             articles_of.append(in_articles)
 
@@ -223,6 +226,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
             dropped += 1
         if tag in CONTAINERS:
             opened += 1
+            containers.append((within[-1], tag == "section"))
             within.append(opened)
         if tag == "a":
             in_link += 1
@@ -237,42 +241,81 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[int]]:
         gone = _dropped_hints(hints, weights, hints_of, articles_of)
         left = [i for i, around in enumerate(hints_of) if not gone.intersection(around)]
         lines, links, inside, homes = ([x[i] for i in left] for x in (lines, links, inside, homes))
-    return lines, links, inside, homes
+    return lines, links, inside, homes, containers
 
 
 def main_text(page: str | None, width: int = 3, threshold: int = 40, share: float = 0.25) -> str:
     """The main text of a page: its blocks, joined by line ends."""
     if not page:
         return ""
-    lines, links, inside, homes = lines_of(page)
+    lines, links, inside, homes, containers = lines_of(page)
     if not lines:
         return ""
-    marked = any(i and t for i, t in zip(inside, lines, strict=True))
-    weights = np.array([0 if marked and not i else max(len(t) - (0 if marked and i else 2 * k), 0) for t, k, i in zip(lines, links, inside, strict=True)])
+    weights = np.array([max(len(t) - 2 * k, 0) for t, k in zip(lines, links, strict=True)])
+    if not weights.any():  # nothing but links
+        weights = np.array([len(t) for t in lines])
     sums = np.convolve(weights, np.ones(width, np.int64))[width - 1 :]  # of the lines from here on
     regions, start = [], None
     for i, s in enumerate(sums):
-        if start is None and weights[i] and s > (0 if marked else threshold):
+        if start is None and weights[i] and s > threshold:
             start = i
         elif start is not None and not s:
             regions.append((start, i))
             start = None
     if start is not None:
         regions.append((start, len(lines)))
+    own = np.array(inside)
+    outside = max((int(weights[a:b][~own[a:b]].sum()) for a, b in regions), default=0)
+    if any(t and i for t, i in zip(lines, inside, strict=True)) and int(weights[own].sum()) >= outside:
+        return "\n".join(t for t, i in zip(lines, inside, strict=True) if i and t)
     if not regions and weights.any():  # nothing surges: the heaviest window
         best = int(np.argmax(sums))
-        regions = [(best, best + width)]
+        return "\n".join(t for t in lines[best : best + width] if t)
     heavy = [int(weights[a:b].sum()) for a, b in regions]
-    least = 0 if marked else share * max(heavy, default=0)
     keep = np.zeros(len(lines), bool)
     for (a, b), h in zip(regions, heavy, strict=True):
-        keep[a:b] |= h >= least
-    if regions and not marked:
-        a, b = regions[int(np.argmax(heavy))]
-        by_home = np.bincount(np.array(homes)[a:b], weights=weights[a : min(b, len(lines))])
-        if home := int(np.argmax(by_home)):
-            keep |= np.array(homes) == home
-    return "\n".join(t for t, k, w in zip(lines, keep, weights, strict=True) if k and w)
+        keep[a:b] |= h >= share * max(heavy)
+    if regions:
+        by_home = np.zeros(len(containers), np.int64)
+        surging = np.zeros(len(containers), np.int64)
+        for (a, b), h in zip(regions, heavy, strict=True):
+            for i in range(a, b):
+                if homes[i] >= 0:
+                    surging[homes[i]] += weights[i]
+                    by_home[homes[i]] += weights[i] * (h >= share * max(heavy))
+        main = _around(np.flatnonzero(by_home > min(threshold, by_home.max() - 1)), containers)
+        while containers[main][1]:  # a section: with the others beside it that surge it makes chapters
+            beside = [c for c in np.flatnonzero(surging > threshold) if _beside(int(c), main, containers)]
+            if not beside:
+                break
+            main = containers[main][0]
+        under = np.zeros(len(containers), bool)
+        under[main] = True
+        for c in range(main + 1, len(containers)):  # numbered as they open, so the one around comes first
+            under[c] = under[containers[c][0]]
+        keep |= np.array([h >= 0 and bool(under[h]) for h in homes])
+    return "\n".join(t for t, k in zip(lines, keep, strict=True) if k and t)
+
+
+def _around(some, containers: list[tuple[int, bool]]) -> int:
+    """The innermost container that is or holds all of some."""
+    main = int(some[0])
+    for c in some[1:]:
+        c = int(c)
+        while c != main:  # the one around has the smaller number
+            if c > main:
+                c = containers[c][0]
+            else:
+                main = containers[main][0]
+    return main
+
+
+def _beside(c: int, main: int, containers: list[tuple[int, bool]]) -> bool:
+    """Whether c is or stands in another section of the container around main."""
+    home = containers[main][0]
+    while c > home and containers[c][0] != home:
+        c = containers[c][0]
+    return c > home and c != main and containers[c][1]
 
 
 def extracted(pages: DataFrame, width: int = 3, threshold: int = 40, share: float = 0.25) -> DataFrame:

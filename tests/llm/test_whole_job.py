@@ -90,3 +90,20 @@ def test_hinted_wrappers_keep_their_article_and_comments_go():
                 assert html_text.main_text(page) == "\n".join(text), page
     long = "".join(f"<article><p>{words(90, 60 + i)}</p></article>" for i in range(5))
     assert html_text.main_text(f"<body><article>{body}</article><div id=comments>{long}</div></body>") == "\n".join(text)
+
+
+def test_all_of_the_main_container_is_output():
+    """Short chapters beside a long one, paragraphs of links, and an article mark on what isn't the article."""
+    menu = "<div><a href=/x>Home</a> <a href=/y>About us</a></div>"
+    chapters = [words(20, 1) + ".", words(400, 2) + ".", words(15, 3) + ".", words(12, 4) + "."]
+    page = f"<body>{menu}<div><h1>Title</h1>" + "".join(f"<section><p>{t}</p></section>" for t in chapters) + "<p>End.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *chapters, "End."])
+    long = [words(40, 10 + i) + "." for i in range(4)]
+    page = f"<body>{menu}<div><p>{long[0]}</p><p>See <a href=/z>{long[1]}</a></p><p>{long[2]}</p><p><a href=/q>More</a></p></div></body>"
+    assert html_text.main_text(page) == "\n".join([long[0], "See " + long[1], long[2], "More"])
+    text = "".join(f"<p>{t}</p>" for t in long)
+    page = f"<body>{menu}<div>{text}</div><article><p>A teaser for another page.</p></article></body>"
+    assert html_text.main_text(page) == "\n".join(long)
+    # blocks each in a container of their own
+    page = f"<body>{menu}<section><div>" + "".join(f"<div><p>{t}</p></div>" for t in long) + "<div>Fin.</div></div></section></body>"
+    assert html_text.main_text(page) == "\n".join([*long, "Fin."])
