@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,12 +20,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_folder: str | None = None
 
 
+def column(name: str) -> F.Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is set."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was told.
+
+    Where neither is set, a local session (one machine) has a temporary folder of its own; a cluster raises, as its
+    executors would write to their own disks and the driver would miss their rows.
+    """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    told = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if told.isDefined():
+        return told.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="cloakline-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -53,10 +68,6 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rows_of(path: str, spark: SparkSession, *columns: str) -> DataFrame:
-    return spark.read.parquet(path).select(*columns)
-
-
 def unit(seed: int, *cols) -> F.Column:
     """A uniform number in [0, 1) that depends on the seed and the columns only."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11)
@@ -88,7 +99,3 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20):
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
-
-
-def packed(lists: list[bytes]) -> pa.Array:
-    return pa.array(lists, pa.binary())
