@@ -1,18 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (a run of bytes without ASCII white
-space, cut after `SEGMENT` bytes) in both directions from a zero state and
-gives every byte a distribution over the languages. It is trained in numpy by
-backpropagation through time on words of a bounded sample of labelled
-documents. A document's probabilities are the mean over all its bytes that are
-not white space.
-
-As states begin at each word, equal words have equal distributions; each task
-computes those of a word once and keeps them, up to a fixed number.
+The network reads the bytes of a text in both directions and gives every
+position a distribution over the languages; a document's probabilities are the
+mean over all its positions. The state is carried over words, lines and
+everything else. So that many places of a long text can be read at a time, a
+text is cut into windows of WINDOW bytes, and the state that a window begins with
+is that after the LEAD bytes before it (in the other direction: behind it), or
+the zero state at the ends of the text. A text of one window is read as a whole;
+each position of a text counts once.
+
+It is trained in numpy by backpropagation through time on spans from places all
+over the texts of a bounded sample of labelled documents.
 
 Defined results. Null text or text without a letter: `und`, score 0. No labelled
 rows to learn from: `und` for all. Null doc_id: predicted, held_out false, never
-learnt from. Empty table: no rows. Only doc_id, text and lang are read.
+learnt from. Empty table: no rows. Languages beyond the `most` most frequent of
+the labelled rows are not learnt. Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import arrow_bytes, pieces, unit
-from cloakline.llm.textops import BYTE, Words, span_hash, sums
 
-SEGMENT = 32
+WINDOW, LEAD, BATCH = 256, 48, 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -52,12 +54,12 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
     def scan(self, d: str, codes: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """States after each byte; codes: (word, step), longest words first, so that a step's words are a prefix."""
+        """States after each byte; codes: (span, step), longest spans first, so that a step's spans are a prefix."""
         h, n = self.hidden, len(codes)
         x, u, b = self.w["x" + d], self.w["u" + d], self.w["b" + d]
         state, states, saved = np.zeros((n, h), np.float32), np.zeros((codes.shape[1] + 1, n, h), np.float32), []
         for t in range(codes.shape[1]):
-            m = int(np.searchsorted(-lengths, -t, "left"))  # words longer than t
+            m = int(np.searchsorted(-lengths, -t, "left"))  # spans longer than t
             a, s = x[codes[:m, t]] + b, state[:m]
             v = s @ u
             zr = _sigmoid(a[:, : 2 * h] + v[:, : 2 * h])
@@ -71,7 +73,7 @@ class Network:
         return states[1:], saved
 
     def backward(self, d: str, codes, saved, grad, out):
-        """Backpropagation through time: grad is by states, (step, word, hidden); sums into out."""
+        """Backpropagation through time: grad is by states, (step, span, hidden); sums into out."""
         h, u = self.hidden, self.w["u" + d]
         carry = np.zeros((len(codes), h), np.float32)
         for t in range(len(saved) - 1, -1, -1):
@@ -90,7 +92,7 @@ class Network:
 
     @staticmethod
     def turned(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Each word's bytes from its last to its first; also takes states back to the order of the bytes."""
+        """Each span's bytes from its last to its first; also takes states back to the order of the bytes."""
         steps = np.arange(codes.shape[1])
         at = lengths[:, None] - 1 - steps[None, :]
         return np.where(at >= 0, at, steps[None, :])
@@ -136,84 +138,108 @@ class Network:
                 self.w[k] -= (lr * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def pooled(self, codes, lengths) -> np.ndarray:
-        """Sum over its bytes of each word's distributions."""
-        out = np.zeros((len(codes), len(self.languages)), np.float32)
-        order = np.argsort(-lengths, kind="stable")
-        for a in range(0, len(order), 4096):
-            rows = order[a : a + 4096]
-            n = lengths[rows]
-            p, _ = self.forward(codes[rows][:, : int(n[0])], n)
-            p *= (np.arange(p.shape[0])[:, None] < n[None, :])[:, :, None]
-            out[rows] = p.sum(0)
+    def ready(self) -> None:
+        """Tables for reading: a byte's gates with the bias, halved where a sigmoid becomes a tanh."""
+        h = self.hidden
+        half = np.ones(3 * h, np.float32)
+        half[: 2 * h] = 0.5
+        self.fast = {d: ((self.w["x" + d] + self.w["b" + d]) * half, self.w["u" + d] * half) for d in "fb"}
+
+    def pooled(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums over its positions of the distributions of each window [start, end) of a text [low, high)."""
+        out = np.zeros((len(start), len(self.languages)), np.float32)
+        order = np.argsort(start - end, kind="stable")
+        for a in range(0, len(order), BATCH):
+            pick = order[a : a + BATCH]
+            out[pick] = self._windows(data, start[pick], end[pick], low[pick], high[pick])
         return out
 
-
-def segments(data: np.ndarray, offsets: np.ndarray):
-    """Start, length, document and hash of each word or part of a long one."""
-    words = Words(data, offsets, hashed=False)
-    size = words.end - words.start
-    parts = -(-size // SEGMENT)
-    first = np.repeat(np.cumsum(parts) - parts, parts)
-    at = np.arange(int(parts.sum())) - first
-    start = np.repeat(words.start, parts) + at * SEGMENT
-    length = np.minimum(np.repeat(words.end, parts) - start, SEGMENT)
-    return start, length, np.repeat(words.doc, parts), span_hash(sums(BYTE[data]), start, start + length)
+    def _windows(self, data, start, end, low, high):
+        """Windows, longest first: those that a step still concerns are a prefix."""
+        h, n, length = self.hidden, len(start), end - start
+        most = int(length[0])
+        logits = np.zeros((most, n, len(self.languages)), np.float32)
+        every = np.arange(n)
+        for d, output in (("f", self.w["o"][:h]), ("b", self.w["o"][h:])):
+            x, u = self.fast[d]
+            state = np.zeros((n, h), np.float32)
+            lead = LEAD if (low < start).any() or (end < high).any() else 0
+            for t in range(-lead, most):
+                m = n if t <= 0 else int(np.searchsorted(-length, -t, "left"))
+                at = start[:m] + t if d == "f" else end[:m] - 1 - t
+                v = state[:m] @ u
+                g = x[data[np.clip(at, 0, len(data) - 1)] if t < 0 else data[at]]
+                zr = np.tanh(g[:, : 2 * h] + v[:, : 2 * h])
+                zr *= 0.5
+                zr += 0.5
+                c = v[:, 2 * h :] * zr[:, h:]
+                c += g[:, 2 * h :]
+                np.tanh(c, out=c)
+                new = state[:m] - c
+                new *= zr[:, :h]
+                new += c
+                if t < 0:  # before the text begins there is no state
+                    new *= ((at >= low) if d == "f" else (at < high))[:, None]
+                state[:m] = new
+                if t >= 0:
+                    if d == "f":
+                        logits[t, :m] = new @ output
+                    else:
+                        logits[length[:m] - 1 - t, every[:m]] += new @ output
+        logits += self.w["c"]
+        logits -= logits.max(2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits *= (np.arange(most)[:, None] < length[None, :])[:, :, None] / logits.sum(2, keepdims=True)
+        return logits.sum(0)
 
 
-def matrix(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    at = start[:, None] + np.arange(SEGMENT)[None, :]
-    return np.where(np.arange(SEGMENT)[None, :] < length[:, None], data[np.minimum(at, len(data) - 1)], 0)
+def windows(offsets: np.ndarray):
+    """Start, end, text, and the text's start and end of each window."""
+    size = np.diff(offsets)
+    parts = -(-size // WINDOW)
+    text = np.repeat(np.arange(len(size)), parts)
+    first = np.repeat(np.cumsum(parts) - parts, parts)
+    start = offsets[text] + (np.arange(len(text)) - first) * WINDOW
+    return start, np.minimum(start + WINDOW, offsets[text + 1]), text, offsets[text], offsets[text + 1]
 
 
-def fitted(docs: DataFrame, per_language: int = 300, chars: int = 4000, hidden: int = 12, steps: int = 500, seed: int = 5) -> Network | None:
-    """A network learnt from about per_language documents of each language, the first `chars` characters of each."""
+def sample(docs: DataFrame, per_language: int = 300, spans: int = 16, chars: int = 64, most: int = 64, seed: int = 5) -> DataFrame:
+    """(lang, part): spans of `chars` characters from hashed places all over the texts of about per_language documents of
+    each of the `most` most frequent languages, `spans` of each document."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    chance = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    rows = known.where(unit(seed, "doc_id") < chance[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    chosen = known.select("doc_id", "lang", "text").join(sizes, "lang").where(unit(seed, "doc_id") < F.lit(float(per_language)) / F.col("n"))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(spans))).alias("number")
+    each = chosen.select("doc_id", "lang", "text", numbers)
+    place = F.floor(unit(seed, "doc_id", "number") * F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    return each.select("lang", "doc_id", "number", F.substring("text", place.cast("int"), F.lit(chars)).alias("part"))
+
+
+def fitted(docs: DataFrame, per_language: int = 300, spans: int = 16, chars: int = 64, hidden: int = 16, steps: int = 200, seed: int = 5) -> Network | None:
+    """A network learnt from sample()."""
+    rows = sample(docs, per_language, spans, chars, seed=seed).collect()
+    rows = sorted((r for r in rows if r["part"]), key=lambda r: (r["lang"], r["doc_id"], r["number"], r["part"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
-    data, offsets = arrow_bytes(pa.array([r["text"] for r in rows], pa.string()))
-    start, length, doc, _ = segments(data, offsets)
-    if not len(start):
-        return None
-    labels = np.array([languages.index(r["lang"]) for r in rows])[doc]
+    texts = [r["part"].encode("utf-8", "surrogateescape")[:chars] for r in rows]
+    length = np.array([len(t) for t in texts])
+    codes = np.zeros((len(texts), chars), np.uint8)
+    for i, t in enumerate(texts):
+        codes[i, : len(t)] = np.frombuffer(t, np.uint8)
+    labels = np.array([languages.index(r["lang"]) for r in rows])
     net = Network(hidden, languages, seed)
-    # the same number of words of each language in the mean
+    # the same number of spans of each language in the mean
     rng = np.random.default_rng(seed)
-    pick = np.concatenate([rng.choice(np.flatnonzero(labels == k), 20_000) for k in np.unique(labels)])
-    return net.train(matrix(data, start[pick], length[pick]), length[pick], labels[pick], steps, 256, 0.02, seed)
-
-
-def predictor(net: Network | None, keep: int = 1 << 20):
-    """A function from texts (bytes and offsets) to predictions; it keeps the sums of up to `keep` words."""
-    seen = {"hash": np.zeros(0, np.uint64), "sum": None}
-
-    def lookup(data, start, length, hashes):
-        unique, first = np.unique(hashes, return_index=True)
-        known, at = seen["hash"], np.zeros(len(unique), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-        new = known[at] != unique if len(known) else np.ones(len(unique), bool)
-        rows = first[new]
-        found = np.zeros((len(unique), len(net.languages)), np.float32)
-        if len(known):
-            found[~new] = seen["sum"][at[~new]]
-        if len(rows):
-            found[new] = net.pooled(matrix(data, start[rows], length[rows]), length[rows])
-            if len(known) + len(rows) > keep:
-                seen["hash"], seen["sum"] = unique, found
-            else:
-                every = np.concatenate([known, unique[new]])
-                order = np.argsort(every)
-                seen["hash"] = every[order]
-                seen["sum"] = (np.concatenate([seen["sum"], found[new]]) if len(known) else found[new])[order]
-        return found[np.searchsorted(unique, hashes)]
+    pick = np.concatenate([rng.choice(np.flatnonzero(labels == k), 5_000) for k in np.unique(labels)])
+    net.train(codes[pick], length[pick], labels[pick], steps, 128, 0.02, seed)
+    return net
+
+
+def predictor(net: Network | None):
+    """A function from texts (bytes and offsets) to predictions."""
+    if net is not None:
+        net.ready()
 
     def predict(data, offsets):
         n = len(offsets) - 1
@@ -222,14 +248,13 @@ def predictor(net: Network | None, keep: int = 1 << 20):
         letters = marks[offsets[1:]] > marks[offsets[:-1]]
         for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
             letters[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-        if net is None:
+        if net is None or not len(data):
             return ["und"] * n, np.zeros(n)
-        start, length, doc, hashes = segments(data, offsets)
+        start, end, text, low, high = windows(offsets)
+        each = net.pooled(data, start, end, low, high)
         total = np.zeros((n, len(net.languages)))
-        if len(start):
-            each = lookup(data, start, length, hashes)
-            for k in range(total.shape[1]):
-                total[:, k] = np.bincount(doc, weights=each[:, k], minlength=n)
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(text, weights=each[:, k], minlength=n)
         share = total / np.maximum(total.sum(1, keepdims=True), 1e-9)
         best = share.argmax(1)
         return [net.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, np.minimum(share[np.arange(n), best], 1.0), 0.0)
