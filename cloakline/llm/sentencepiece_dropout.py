@@ -18,7 +18,8 @@ on these candidates give the same skips has the same merges; if they give others
 it goes on with those. Each round follows the occurrence's own merges further, so
 the end is what merging it alone gives. Segments of over SHORT symbols, which
 hardly ever draw alike, are merged alone. Short segments are merged many at a
-time, longer ones one by one with a heap; the merges are the same.
+time, longer ones one by one with a heap; the merges are the same. What is kept is
+forgotten beyond a number of segments and of pieces and candidates in them.
 
 Defined results. Null or empty text: no pieces. Null doc_id: as 0. The mark
 itself in a text, and bytes that are no UTF-8, become byte pieces and come back.
@@ -94,6 +95,7 @@ class Vocabulary:
                     keys.append(a * self.base + b)
                     ranks.append(rank)
         self._hashed(np.array(keys, np.int64), np.array(ranks, np.int64))
+        self.rank_of = dict(zip(keys, ranks, strict=True))
 
     def _hashed(self, keys, ranks):
         bits = max(4, int(len(keys) * 8).bit_length())
@@ -126,6 +128,17 @@ class Vocabulary:
         return out
 
 
+_ALL = (1 << 64) - 1
+_P = [int(x) for x in _C]
+
+
+def _mixed(h: int) -> int:
+    """mix() of one number."""
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _ALL
+    return h ^ (h >> 31)
+
+
 def _candidate(place, a, b):
     return place.astype(np.uint64) * _C[1] + a.astype(np.uint64) * _C[2] + b.astype(np.uint64) * _C[3]
 
@@ -186,27 +199,44 @@ class Encoder:
         return out
 
     def _heap(self, symbols: np.ndarray, key: np.ndarray, name: int, seen: list | None) -> np.ndarray:
-        """The same merges of one long segment, by an agenda."""
-        n, v = len(symbols), self.v
+        """The same merges of one long segment, by an agenda of plain numbers."""
+        n, merged, rank_of, base, bound = len(symbols), self.v.merged, self.v.rank_of, self.v.base, int(self.bound)
         piece, nxt, prv = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        one = np.asarray(key)[None]
-        first = self._ranks(one, np.arange(n - 1), symbols[:-1], symbols[1:], name, seen)
-        agenda = [(int(x), i, piece[i], piece[i + 1]) for i, x in enumerate(first) if x < _NONE]
+        drawn = int(key) if key.ndim == 0 else None
+        listed = None if drawn is not None else set(key.tolist())
+        came, agenda = [], []
+
+        def add(x: int, a: int, b: int):
+            rank = rank_of.get(a * base + b)
+            if rank is None:
+                return
+            if bound:
+                cand = (x * _P[1] + a * _P[2] + b * _P[3]) & _ALL
+                if seen is not None:
+                    came.append(cand)
+                if (_mixed((drawn + cand) & _ALL) < bound) if listed is None else cand in listed:
+                    return
+            agenda.append((rank, x, a, b)) if first else heapq.heappush(agenda, (rank, x, a, b))
+
+        first = True
+        for x in range(n - 1):
+            add(x, piece[x], piece[x + 1])
         heapq.heapify(agenda)
+        first = False
         while agenda:
             rank, i, a, b = heapq.heappop(agenda)
             j = nxt[i]
             if piece[i] != a or j >= n or piece[j] != b:
                 continue
-            piece[i], piece[j] = int(v.merged[rank]), -1
+            piece[i], piece[j] = int(merged[rank]), -1
             nxt[i] = nxt[j]
             if nxt[j] < n:
                 prv[nxt[j]] = i
             for x, y in ((prv[i], i), (i, nxt[i])):
                 if x >= 0 and y < n:
-                    r = int(self._ranks(one, np.array([x]), np.array([piece[x]]), np.array([piece[y]]), name, seen)[0])
-                    if r < _NONE:
-                        heapq.heappush(agenda, (r, x, piece[x], piece[y]))
+                    add(x, piece[x], piece[y])
+        if seen is not None:
+            seen.append((np.full(len(came), name), np.array(came, np.uint64)))
         return np.array([p for p in piece if p >= 0], np.int64)
 
     def _bytes(self, code: int) -> np.ndarray:
@@ -260,7 +290,7 @@ class Encoder:
         else:
             place = start - (ends - sizes)[doc]
             keys = mix(mix(self.seeds[0] + doc_ids[doc].astype(np.uint64) * _C[1]) + place.astype(np.uint64) * _C[2] + self.seeds[1])
-        if len(self.keys) > self.keep:
+        if len(self.keys) > self.keep or len(self.flat) + len(self.cands) > 16 * self.keep:
             self._forget()
         begin, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         short = (length <= SHORT) | (self.bound == 0)
