@@ -25,6 +25,17 @@ def column(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def result_names(carried, results) -> list[str]:
+    """Names under which carried columns are returned beside results: their own, with docs_ before those that clash."""
+    taken, out = {r.lower() for r in results}, []
+    for name in carried:
+        while name.lower() in taken:
+            name = f"docs_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was told.
 

@@ -23,15 +23,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import WORD, written
+from cloakline.llm.common import WORD, column, result_names, written
 
 PHI = (math.sqrt(5) - 1) / 2
 
 
 def sized(docs: DataFrame, seed: int, *carried: str) -> DataFrame:
-    """(doc_id, source, size, u, carried...): words of the text and a keyed hash of the row."""
+    """(doc_id, source, size, u, and the carried columns as _c0, _c1 and so on): words of the text and a keyed hash of the row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.crc32(text)).alias("u"), *carried)
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.crc32(text)).alias("u"), *[column(c).alias(f"_c{i}") for i, c in enumerate(carried)])
 
 
 def targets(slim: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, least: float = 0.0) -> DataFrame:
@@ -130,11 +130,14 @@ def mixed(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most:
     spark = docs.sparkSession
     slim = written(sized(docs, seed, *carried), "sizes")
     goals = written(targets(slim, weights, share, most, least), "targets")
-    placed = written(positions(slim, goals, *carried), "positions")
+    aside = [f"_c{i}" for i in range(len(carried))]
+    placed = written(positions(slim, goals, *aside), "positions")
     used = placements(spark, placed, goals, block_words, most).groupBy("sid", "c0").agg(F.sum("n_words").alias("words"))
     used = used.withColumn("has", F.lit(True))
     out = placed.withColumn("has", F.col("size") > 0).join(used, ["sid", "c0", "has"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), *carried)
+    results = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    back = [F.col(a).alias(c) for a, c in zip(aside, result_names(carried, results), strict=True)]
+    return out.select(*results[:5], F.coalesce("words", F.lit(0)).cast("long").alias("taken"), *back)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import arrow_bytes, column, pieces, written
+from cloakline.llm.common import arrow_bytes, column, pieces, result_names, written
 from cloakline.llm.textops import SPACE, Words, mix, shingles
 
 _SYMBOL = np.zeros(256, bool)
@@ -168,12 +168,10 @@ def _judged(rows: DataFrame, prior: float, spread: float, sure: float) -> DataFr
 def judged(docs: DataFrame, *carried: str, prior: float = 10.0, spread: float = 3.0, sure: float = 1.5) -> DataFrame:
     """The carried columns with COUNTS, q_failed (the base rule) and q_kept (the verdict)."""
     results = [*COUNTS, "q_failed", "q_kept"]
-    if clash := sorted(set(carried) & set(results)):
-        raise ValueError(f"columns named like results of the operator: {clash}")
     rows = counted(docs, *carried)
     if "text" not in carried:  # texts are counted twice rather than written once more
         rows = written(rows, "counts")
-    return _judged(rows, prior, spread, sure).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)], *results)
+    return _judged(rows, prior, spread, sure).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(result_names(carried, results))], *results)
 
 
 def accepted(docs: DataFrame, prior: float = 10.0, spread: float = 3.0, sure: float = 1.5) -> DataFrame:

@@ -24,7 +24,8 @@ forgotten beyond a number of segments and of pieces and candidates in them.
 Defined results. Null or empty text: no pieces. Null doc_id: as 0. The mark
 itself in a text, and bytes that are no UTF-8, become byte pieces and come back.
 Rows that repeat a doc_id and text have the same pieces. Empty table: no rows.
-Only doc_id and text are read, and further columns are carried along by name.
+Only doc_id and text are read, and further columns are carried along by name; one
+named like a result is returned with docs_ before its name.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cloakline.llm.common import arrow_bytes, pieces
+from cloakline.llm.common import arrow_bytes, column, pieces, result_names
 from cloakline.llm.textops import mix, span_hash, sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -377,7 +379,10 @@ def encoded(docs: DataFrame, *carried: str, model: str = MODEL, dropout: float =
     tells that decoding the ids gave the text's bytes back.
     """
     proto = model_bytes(model)
-    plain = docs.select("doc_id", "text", *[c for c in carried if c not in ("doc_id", "text")])
+    others = [c for c in carried if c not in ("doc_id", "text")]
+    results = ["n_pieces", "ids_crc32", "lossless", "ids"]
+    back = result_names(others, ["doc_id", "text", *results])
+    plain = docs.select("doc_id", "text", *[column(c).alias(f"_c{i}") for i, c in enumerate(others)])
     names = plain.columns
 
     def run(batches):
@@ -396,10 +401,11 @@ def encoded(docs: DataFrame, *carried: str, model: str = MODEL, dropout: float =
                 lossless = [same or back[x:y].tobytes() == t.encode("utf-8", "surrogateescape") for x, y, t in zip(back_at[:-1], back_at[1:], texts, strict=True)]
                 codes = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)) if with_ids else pa.nulls(b - a, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(codes, pa.int64()), pa.array(lossless, pa.bool_()), lists], [*names, "n_pieces", "ids_crc32", "lossless", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds), pa.int64()), pa.array(codes, pa.int64()), pa.array(lossless, pa.bool_()), lists], [*names, *results])
 
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in plain.schema] + ["n_pieces long", "ids_crc32 long", "lossless boolean", "ids array<int>"])
-    return plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(run, schema)
+    return out.select("doc_id", "text", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(back)], *results)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -28,7 +28,8 @@ are one text with a count.
 Defined results. Null text: as empty, nothing removed. Texts shorter than a
 window: nothing removed. Repeated rows are texts that occur elsewhere. Null
 doc_id: kept as null. Empty table: no rows. Only doc_id and text are read;
-further columns are carried along by name.
+further columns are carried along by name, those named like a result with docs_
+before their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakline.llm.common import arrow_bytes, dropped, pieces, written
+from cloakline.llm.common import arrow_bytes, column, dropped, pieces, result_names, written
 from cloakline.llm.textops import BYTE, mix, span_hash, sums
 
 
@@ -357,6 +358,9 @@ def _removed(batches, with_text: bool):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+RESULTS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
 def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 64, with_text: bool = False, home_bytes: int = 8 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text, with_text).
 
@@ -367,7 +371,7 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.select(F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    aside = [F.col(c).alias(f"_carried{i}") for i, c in enumerate(carried)]  # names that can't clash
+    aside = [column(c).alias(f"_carried{i}") for i, c in enumerate(carried)]  # names that can't clash
     slim = docs.select("doc_id", *aside, F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     slim = written(slim, "texts")
     total = slim.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
@@ -407,7 +411,7 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     gone = F.coalesce(gone, F.lit(False))
     return rows.select(
-        "doc_id", *[F.col(f"_carried{i}").alias(c) for i, c in enumerate(carried)], "n_bytes",
+        "doc_id", *[F.col(f"_carried{i}").alias(c) for i, c in enumerate(result_names(carried, RESULTS))], "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
