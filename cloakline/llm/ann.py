@@ -6,21 +6,30 @@ a bounded sample and are then fitted together by least squares to the codes
 that a beam search finds. Every vector is coded by beam search; its code and
 the norm of the sum of its codewords are stored. A query's products with all
 codewords are a lookup table; a vector's score is the sum of its codewords'
-entries over its stored norm. The best of each block of vectors, ties at the
-last included, are ranked again by their exact cosine.
+entries over its stored norm.
 
-Queries and vectors meet in blocks: block of queries by block of vectors, each
-of bounded size. Of each pair of blocks the exact best go on.
+Queries meet codes (no vectors) in blocks of bounded size. The best of a query
+over all blocks, `candidates` in all, are joined with their vectors and ranked
+by their exact cosine. A block sends what it holds of these but for a chance of
+about one in 10**9: blocks are cut by hash, so a block's number of them is that
+of a random draw, and it sends six standard deviations more.
+
+Equal vectors are equally near, and ties go to the smaller vec_id, so of more
+than k + 1 equal ones only the k + 1 smallest vec_ids can be among the k nearest
+of any query; the others are left out before the search, whatever their number.
 
 Defined results. Vectors that are null, zero, hold null or non-finite
-components, or are not of the table's most frequent length take no part. A
-query's own row is that with its vec_id; rows that repeat a vec_id are
-candidates of others each for itself. Null vec_id: never a query, a candidate
-without a tie order. Empty table: no rows. Only vec_id and embedding are read.
+components, or are not of the table's most frequent length take no part, nor do
+rows whose vec_id is null, which no result could name. A query's own row is that
+with its vec_id; of rows that repeat a query's vec_id the smallest vector is the
+query. Rows that repeat a vec_id are candidates of others each for itself. Empty
+table: no rows. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,7 +49,7 @@ def _means(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = 8) -> np.ndarray:
+def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> np.ndarray:
     """Codes of the rows of x: a beam search over the codebooks, one after the other, for the least residual."""
     m, k, _ = books.shape
     out = np.zeros((len(x), m), np.int64)
@@ -66,7 +75,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
-def codebooks(x: np.ndarray, books: int = 16, words: int = 64, rounds: int = 3, seed: int = 1) -> np.ndarray:
+def codebooks(x: np.ndarray, books: int = 32, words: int = 64, rounds: int = 2, seed: int = 1) -> np.ndarray:
     """Codebooks (book, word, dimension) fitted to the rows of x."""
     rng = np.random.default_rng(seed)
     found, left = [], x.copy()
@@ -100,11 +109,17 @@ def usable(table: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = table.select("vec_id", v.alias("embedding")).where(F.col("embedding").isNotNull()).where(F.coalesce(fine, F.lit(False)))
+    rows = table.select("vec_id", v.alias("embedding")).where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     return rows.where(F.size("embedding") == (sizes[0]["n"] if sizes else 0))
 
 
+def pruned(rows: DataFrame, k: int) -> DataFrame:
+    """rows without those that k + 1 equal vectors of smaller vec_id rule out of all results."""
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
+
+
 def fit(rows: DataFrame, sample: int = 8192, seed: int = 7, **options) -> np.ndarray | None:
     """Codebooks learnt from about `sample` of the vectors."""
     n = rows.count()
@@ -119,60 +134,82 @@ def fit(rows: DataFrame, sample: int = 8192, seed: int = 7, **options) -> np.nda
 
 
 def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """rows with code (one byte per codebook) and norm (of the sum of the codewords)."""
+    """(vec_id, code, norm): a byte per codebook, and the norm of the sum of the codewords."""
     size = books.shape[2]
 
     def run(batches):
         for batch in batches:
             x = _vectors(batch.column(1), size)
             codes = encode(x / _norms(x)[:, None], books)
-            norms = _norms(decode(codes, books))
+            norms = _norms(decode(codes, books)).astype(np.float32)
             blobs = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, blobs, pa.array(norms)], ["vec_id", "embedding", "code", "norm"])
-
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, norm double")
-
-
-def search(index: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 5, rerank: int = 256, block: int = 4096) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs, pa.array(norms)], ["vec_id", "code", "norm"])
+
+    return rows.mapInArrow(run, "vec_id long, code binary, norm float")
+
+
+def _met(queries: pa.Table, codes: pa.Table, books: np.ndarray, most: int) -> pa.Table:
+    """The `most` candidates of a block of codes for each query of a block, by lookup tables."""
+    names, kinds = ["query_id", "vec_id", "rough"], [pa.int64(), pa.int64(), pa.float32()]
+    found: list[list] = [[], [], []]
+    if queries.num_rows and codes.num_rows:
+        m, words, size = books.shape
+        q = _vectors(queries.column("embedding"), size)
+        ids = codes.column("vec_id").to_numpy()
+        places = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), m).T.astype(np.int64) + words * np.arange(m)[:, None]
+        scale = 1 / np.maximum(codes.column("norm").to_numpy(), 1e-12)
+        tables = ((q / _norms(q)[:, None]) @ books.reshape(m * words, size).T).astype(np.float32)
+        order = np.argsort(ids, kind="stable")  # so that the smaller of equal ones is found first
+        places, scale, ids = places[:, order], scale[order], ids[order]
+        for query, table in zip(queries.column("vec_id").to_pylist(), tables, strict=True):
+            rough = table[places[0]]
+            for j in range(1, m):
+                rough += table[places[j]]
+            rough *= scale
+            rough[ids == query] = -np.inf
+            n = min(most, len(ids))
+            least = np.partition(rough, len(ids) - n)[len(ids) - n]
+            near = np.append(np.flatnonzero(rough > least), np.flatnonzero(rough == least))[:n]
+            near = near[ids[near] != query]
+            found[0].append(np.full(len(near), query))
+            found[1].append(ids[near])
+            found[2].append(rough[near])
+    return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(found, kinds, strict=True)], names)
+
+
+def _ranked(batches, size: int):
+    """(query_id, vec_id, score) of rows with both vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            q, v = _vectors(batch.column(2), size), _vectors(batch.column(3), size)
+            exact = (q * v).sum(1) / (_norms(q) * _norms(v))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 5, candidates: int = 128, block: int = 1 << 16, block_queries: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query (vec_id, embedding) by cosine.
 
-    rerank is the number of candidates of a block that are ranked exactly, for each query; it is no limit on
-    blocks, and candidates tied with the last are ranked too.
+    index has the codes of vectors (vec_id, embedding); candidates is the number that is ranked exactly, for each
+    query over the whole table.
     """
-    size = books.shape[2]
+    size, parallel = books.shape[2], int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_index, n_queries = index.count(), queries.count()
-    rows_in, sets_in = max(1, -(-n_index // block)), max(1, -(-n_queries // block))
-    cell = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "vec_id", "embedding"), F.lit(n)).cast("int")
+    rows_in, sets_in = max(1, -(-n_index // block), min(parallel, n_index // 4096)), max(1, -(-n_queries // block_queries))
+    share = min(candidates, n_index) / rows_in
+    most = min(candidates, math.ceil(share + 6 * share**0.5 + 16))
+    cell = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = index.withColumn("rows", cell(1, rows_in)).withColumn("set", each(sets_in))
-    left = queries.select("vec_id", "embedding").withColumn("set", cell(2, sets_in)).withColumn("rows", each(rows_in))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        found: list[list] = [[], [], []]
-        if a.num_rows and b.num_rows:
-            q, v = _vectors(a.column("embedding"), size), _vectors(b.column("embedding"), size)
-            qn, vn = _norms(q), _norms(v)
-            ids = np.array([x if x is not None else -(1 << 63) for x in b.column("vec_id").to_pylist()], np.int64)
-            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(v), -1).astype(np.int64)
-            norms = np.maximum(b.column("norm").to_numpy(), 1e-12)
-            for i, query in enumerate(a.column("vec_id").to_pylist()):
-                table = books @ (q[i] / qn[i])
-                rough = sum(table[j][codes[:, j]] for j in range(len(books))) / norms
-                rough[ids == query] = -np.inf
-                most = min(rerank, len(v))
-                near = np.flatnonzero(rough >= np.partition(rough, len(v) - most)[len(v) - most])
-                near = near[ids[near] != query]
-                exact = (q[i] * v[near]).sum(1) / (qn[i] * vn[near])
-                best = np.lexsort((ids[near], -exact))[:k]
-                found[0] += [query] * len(best)
-                found[1] += ids[near][best].tolist()
-                found[2] += exact[best].tolist()
-        return pa.table([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names)
-
-    best = left.groupBy("rows", "set").cogroup(right.groupBy("rows", "set")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    left = queries.withColumn("set", cell(2, sets_in)).withColumn("rows", each(rows_in))
+    met = left.groupBy("rows", "set").cogroup(right.groupBy("rows", "set")).applyInArrow(lambda a, b: _met(a, b, books, most), "query_id long, vec_id long, rough float")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+    chosen = met.withColumn("nth", first).where(F.col("nth") <= candidates).select("query_id", "vec_id").distinct()
+    both = vectors.select("vec_id", F.col("embedding").alias("v")).join(chosen, "vec_id")
+    both = both.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    exact = both.select("query_id", "vec_id", "q", "v").mapInArrow(lambda x: _ranked(x, size), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -180,5 +217,6 @@ def op7(spark, sf_dir: str) -> DataFrame:
     books = fit(rows)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = written(coded(rows, books), "codes")
-    return search(index, index.where(F.col("vec_id") % 50 == 0), books)
+    left = written(pruned(rows, 5), "vectors")
+    # a query may be one of the copies that were left out
+    return search(written(coded(left, books), "codes"), left, rows.where(F.col("vec_id") % 50 == 0), books)

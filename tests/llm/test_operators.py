@@ -314,12 +314,13 @@ def test_neighbours(spark):
     x = rng.normal(size=(1500, 16)) + 2 * rng.normal(size=(10, 16))[rng.integers(0, 10, 1500)]
     x[200:260] = x[100]  # ties
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0] * 3), (5004, [None] + [1.0] * 15), (50, x[50].tolist())]
+    data += [(None, x[7].tolist())]
     rows_ = ann.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
     assert rows_.count() == 1501
-    books = ann.fit(rows_, books=4, words=32)
+    books = ann.fit(rows_, books=8, words=32)
     index = ann.coded(rows_, books)
     got = collections.defaultdict(list)
-    for r in ann.search(index, index.where("vec_id % 50 = 0").dropDuplicates(["vec_id"]), books, rerank=64, block=400).collect():
+    for r in ann.search(index, ann.pruned(rows_, 5), rows_.where("vec_id % 50 = 0"), books, candidates=64, block=400, block_queries=10).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     u = x / np.linalg.norm(x, axis=1)[:, None]
     hit = 0
@@ -337,6 +338,31 @@ def test_neighbours(spark):
     assert ann.fit(rows_.where("false")) is None
 
 
+def test_neighbours_with_the_query_s_own_parameters(spark, tmp_path):
+    """Recall of the registered query on a table that its candidates are a small share of; copies, and an empty table."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 24)).astype(np.float32)
+    x[3000:3900] = x[17]  # a large group of copies
+    frame = "vec_id long, embedding array<float>, label int, code string, norm string"
+    spark.createDataFrame([(i, v.tolist(), 1, "c", "n") for i, v in enumerate(x)], frame).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = collections.defaultdict(dict)
+    for r in ann.op7(spark, str(tmp_path)).collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    y = x.astype(float)
+    u = y / np.linalg.norm(y, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        want = np.lexsort((np.arange(6000), -s.round(9)))[:5]
+        hit += len(set(want) & {v for v, _ in got[q].values()})
+        assert all(score == pytest.approx(s[v], abs=1e-12) for v, score in got[q].values()) and sorted(got[q]) == [1, 2, 3, 4, 5]
+    assert hit >= 0.9 * 120 * 5
+    assert [got[3050][i][0] for i in range(1, 6)] == [17, 3000, 3001, 3002, 3003]
+    spark.createDataFrame([], frame).write.parquet(str(tmp_path / "none/embeddings.parquet"))
+    assert ann.op7(spark, str(tmp_path / "none")).count() == 0
+
+
 # ---------------------------------------------------------------- suffix dedup
 
 
