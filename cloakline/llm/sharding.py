@@ -8,7 +8,10 @@ and deals them out by its row of the matrix, rows are exchanged, and each shard
 permutes what it got. Only DataFrame functions are used.
 
 No step ranks a whole shard in one task: the second permutation ranks rows
-within slices of the key space and adds the sizes of earlier slices.
+within slices of the key space and adds the sizes of earlier slices. The key is
+salted with a row's place in the input, so that copies of a row are dealt out like
+all others. No row holds all partitions: the matrix is drawn for groups of
+partitions first, then within each group.
 
 Defined results. Null text: size 1, checksum 0. Null doc_id: a key like others.
 Repeated rows: each is dealt out on its own. Empty table: no rows. Columns that
@@ -17,43 +20,65 @@ clash with working names: only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakline.llm.common import unit, written
 
-#: ln(n!) for n up to 15; beyond, Stirling's series is exact to 1e-13.
-_SMALL = 16
+def _bound(value, body):
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: ln of the error of Stirling's formula for 0 to 15; beyond, its series is exact to 1e-15.
+_STIRLING = [0.0, *[math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]]
 
 
-def _log_factorial(n):
-    exact, total = [0.0], 0.0
-    import math
+def _log_binomial(x, n, p, q):
+    """ln of the chance of x of n at rate p, q = 1 - p; by saddle points, so that it is exact however large n is."""
+    deltas = F.array(*[F.lit(v) for v in _STIRLING])
+    stirling = lambda m: F.when(m < 16, F.get(deltas, m.cast("int"))).otherwise((1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m * m)) / (m * m)) / (m * m)) / m)
 
-    for i in range(1, _SMALL):
-        total += math.log(i)
-        exact.append(total)
-    n = n.cast("double")
-    table = F.array(*[F.lit(x) for x in exact])
-    series = n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * F.pow(n, 5))
-    return F.when(n < _SMALL, F.get(table, n.cast("int"))).otherwise(series)
+    def deviance(pair):
+        """x ln(x / m) + m - x, by its series where x is near m."""
+        x, m = pair["x"], pair["m"]
+        v = (x - m) / (x + m)
+        terms = sum((2 * x * F.pow(v, F.lit(2.0 * j + 1)) / (2 * j + 1) for j in range(1, 9)), (x - m) * v)
+        return F.when(F.abs(x - m) < 0.1 * (x + m), terms).otherwise(x * F.log(x / m) + m - x)
+
+    pair = lambda a, m: F.struct(a.alias("x"), m.alias("m"))
+    off = F.transform(F.array(pair(x, n * p), pair(n - x, n * q)), deviance)
+    errors = F.transform(F.array(n, x, n - x), stirling)
+    inside = _bound(off, lambda o: _bound(errors, lambda e: e[0] - e[1] - e[2] - o[0] - o[1])) - 0.5 * F.log(2 * math.pi * x * (n - x) / n)
+    return F.when(n == 0, 0.0).when(x == 0, n * F.log(q)).when(x == n, n * F.log(p)).otherwise(inside)
 
 
 def hypergeometric(total, good, drawn, u):
     """Number of good ones among `drawn` of `total`, by inversion of u outward from the mode.
 
     Steps alternate up and down from the mode. The number of steps covers
-    twelve standard deviations on both sides or the whole support; mass beyond
-    that is under 1e-30.
+    nine standard deviations on both sides or the whole support; mass beyond
+    that is under the spacing of u.
     """
-    low = F.greatest(F.lit(0).cast("long"), drawn - (total - good))
-    high = F.least(good, drawn)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1).cast("double") * (good + 1) / (total + 2)).cast("long")))
-    spread = F.sqrt(drawn.cast("double") * good / F.greatest(total, F.lit(1)) * (total - good) / F.greatest(total, F.lit(1)))
-    steps = F.least(high - low, F.ceil(12 * spread + 30).cast("long"))
-    lf = _log_factorial
-    log_p = lf(good) - lf(mode) - lf(good - mode) + lf(total - good) - lf(drawn - mode) - lf(total - good - drawn + mode) - lf(total) + lf(drawn) + lf(total - drawn)
-    fixed = F.struct(total.alias("n"), good.alias("k"), drawn.alias("d"), low.alias("lo"), high.alias("hi"), mode.alias("m"), F.exp(log_p).alias("p"), u.alias("u"), steps.alias("s"))
+
+    def with_range(v):
+        low, high = F.greatest(F.lit(0).cast("long"), v["d"] - (v["n"] - v["k"])), F.least(v["k"], v["d"])
+        mode = F.floor((v["d"] + 1).cast("double") * (v["k"] + 1) / (v["n"] + 2)).cast("long")
+        n, k, d = (v[x].cast("double") for x in "nkd")
+        spread = F.sqrt(d * k / F.greatest(n, F.lit(1.0)) * (n - k) / F.greatest(n, F.lit(1.0)))
+        return _bound(F.struct(low.alias("lo"), high.alias("hi"), mode.alias("m"), F.ceil(9 * spread + 30).cast("long").alias("s")), lambda w: with_mode(v, w))
+
+    def with_mode(v, w):
+        mode = F.least(w["hi"], F.greatest(w["lo"], w["m"]))
+        n, k, d = (v[x].cast("double") for x in "nkd")
+        one = lambda x, size: F.struct(x.cast("double").alias("x"), size.cast("double").alias("n"), (d / n).alias("p"), ((n - d) / n).alias("q"))
+        logs = F.transform(F.array(one(mode, k), one(d - mode, n - k), one(d, n)), lambda b: _log_binomial(b["x"], b["n"], b["p"], b["q"]))
+        chance = F.when(w["lo"] >= w["hi"], 1.0).otherwise(_bound(logs, lambda g: F.exp(g[0] + g[1] - g[2])))
+        fixed = F.struct(*[v[x].alias(x) for x in "nkdu"], w["lo"].alias("lo"), w["hi"].alias("hi"), mode.alias("m"), chance.alias("p"), F.least(w["hi"] - w["lo"], w["s"]).alias("s"))
+        return _bound(fixed, walk)
 
     def walk(v):
         n, k, d = (v[x].cast("double") for x in "nkd")
@@ -63,57 +88,73 @@ def hypergeometric(total, good, drawn, u):
             x, y = a["up"].cast("double"), a["down"].cast("double")
             pu = F.when(a["up"] < v["hi"], a["pu"] * (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))).otherwise(0.0)
             pd = F.when(a["down"] > v["lo"], a["pd"] * y * (n - k - d + y) / ((k - y + 1) * (d - y + 1))).otherwise(0.0)
-            up, down = F.least(a["up"] + 1, v["hi"]), F.greatest(a["down"] - 1, v["lo"])
-            got = F.when(a["got"].isNotNull(), a["got"]).when(a["left"] < pu, up).when(a["left"] < pu + pd, down)
-            return F.struct((a["left"] - pu - pd).alias("left"), up.alias("up"), pu.alias("pu"), down.alias("down"), pd.alias("pd"), got.alias("got"))
+
+            def moved(p):
+                up, down = F.least(a["up"] + 1, v["hi"]), F.greatest(a["down"] - 1, v["lo"])
+                got = F.when(a["got"].isNotNull(), a["got"]).when(a["left"] < p["u"], up).when(a["left"] < p["u"] + p["d"], down)
+                return F.struct((a["left"] - p["u"] - p["d"]).alias("left"), up.alias("up"), p["u"].alias("pu"), down.alias("down"), p["d"].alias("pd"), got.alias("got"))
+
+            return _bound(F.struct(pu.alias("u"), pd.alias("d")), moved)
 
         return F.aggregate(F.sequence(F.lit(0).cast("long"), v["s"]), begin, step, lambda a: F.coalesce(a["got"], v["m"]))
 
-    return F.get(F.transform(F.array(fixed), walk), F.lit(0))
+    return _bound(F.struct(total.alias("n"), good.alias("k"), drawn.alias("d"), u.alias("u")), with_range)
+
 
+@functools.cache
+def _shared(seed: int, _gateway) -> F.Column:
+    """Of a node (pairs, want, rest, level): what its left half gets of each shard. Built once: it has many parts."""
 
-def _share_of(seed: int, level: int):
     def share(acc, pair):
-        x = hypergeometric(acc["n"], pair["g"], acc["d"], unit(seed, F.lit(level), pair["id"], pair["j"]))
+        x = hypergeometric(acc["n"], pair["g"], acc["d"], unit(seed, F.col("level"), pair["id"], pair["j"]))
         return F.struct((acc["n"] - pair["g"]).alias("n"), (acc["d"] - x).alias("d"), F.concat(acc["out"], F.array(x)).alias("out"))
 
-    return share
+    start = F.struct((F.col("want") + F.col("rest")).alias("n"), F.col("want").alias("d"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate("pairs", start, share, lambda a: a["out"])
 
 
-def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(part, n) -> (part, gets: rows to each shard), with shard sizes at most one apart.
+_SIZE = "aggregate({0}, cast(0 as long), (a, x) -> a + x.n)"
+
+
+def _halved(nodes: DataFrame, most: int, seed: int) -> DataFrame:
+    """(part, n, gets) of nodes (parts, gets) of up to `most` parts: a node's two halves share what it gets by draws.
 
-    The matrix is drawn by halving: a node holds a range of partitions and what
-    each shard takes from it; its two halves share that by hypergeometric
-    draws. Nodes of a level are rows, so that the draws of a level are
-    independent of each other and run in parallel.
+    Nodes of a level are rows, so that the draws of a level are independent of each other and run in parallel.
     """
-    nodes = counts.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
-    total = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.floor((total + (shards - 1) - j) / shards).cast("long"))
-    nodes = nodes.where(F.size("parts") > 0).select("parts", sizes.alias("gets"))
-    # 2**depth nodes hold one partition each; depth follows the number of partitions
-    most = counts.agg(F.count("*").alias("n")).first()["n"]
-    depth = max(0, (most - 1).bit_length()) if most else 0
-    for level in range(depth):
-        half = F.ceil(F.size("parts") / 2).cast("int")
-        left = F.slice("parts", 1, half)
-        size_of = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        nodes = nodes.select("gets", left.alias("left"), F.slice("parts", half + 1, F.greatest(F.size("parts") - half, F.lit(0))).alias("right"))
-        nodes = nodes.select("*", size_of(F.col("left")).alias("want"), size_of(F.col("right")).alias("rest"), F.get("left", F.lit(0))["part"].alias("id"))
-
-        share = _share_of(seed, level)
-        pairs = F.transform("gets", lambda g, j: F.struct(g.alias("g"), j.alias("j"), F.col("id").alias("id")))
-        start = F.struct((F.col("want") + F.col("rest")).alias("n"), F.col("want").alias("d"), F.array().cast("array<long>").alias("out"))
-        nodes = nodes.select("left", "right", "gets", F.aggregate(pairs, start, share, lambda a: a["out"]).alias("mine"))
-        both = F.array(
-            F.struct(F.col("left").alias("parts"), F.col("mine").alias("gets")),
-            F.struct(F.col("right").alias("parts"), F.zip_with("gets", "mine", lambda g, x: g - x).alias("gets")),
-        )
-        nodes = nodes.select(F.explode(both).alias("node")).select("node.parts", "node.gets").where(F.size("parts") > 0)
+    for level in range(max(0, (most - 1).bit_length())):
+        nodes = nodes.selectExpr("gets", "slice(parts, 1, cast(ceil(size(parts) / 2) as int)) as left", "slice(parts, cast(ceil(size(parts) / 2) as int) + 1, size(parts)) as right")
+        nodes = nodes.selectExpr("*", f"{_SIZE.format('left')} as want", f"{_SIZE.format('right')} as rest", f"{level} as level", "get(left, 0).part as id")
+        nodes = nodes.selectExpr("*", "transform(gets, (g, j) -> struct(g, j, id)) as pairs").withColumn("mine", _shared(seed, id(nodes.sparkSession._jvm)))
+        both = "inline(array(struct(left as parts, mine as gets), struct(right as parts, zip_with(gets, mine, (g, x) -> g - x) as gets)))"
+        nodes = nodes.selectExpr(both).where("size(parts) > 0")
         if level % 3 == 2:  # keeps plans short and spreads the nodes of wide levels
             nodes = written(nodes.repartition(1 << min(level, 8)) if level > 2 else nodes, "matrix")
-    return nodes.select(F.explode("parts").alias("p"), "gets").select("p.part", "gets")
+    return nodes.selectExpr("inline(parts)", "gets")
+
+
+GROUP = 1024
+
+
+def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(part, n) -> (part, gets: rows to each shard), with shard sizes at most one apart.
+
+    The matrix is drawn by halving: a node holds a range of partitions and what each shard takes from it; its two
+    halves share that by hypergeometric draws. Beyond GROUP partitions, groups of them are drawn first.
+    """
+    most = counts.agg(F.count("*").alias("n"), F.max("part").alias("last")).first()
+    if not most["n"]:
+        return counts.selectExpr("part", "array(n) as gets")
+    grouped = most["last"] >= GROUP
+    by = counts.selectExpr(f"part div {GROUP} as part", "n").groupBy("part").agg(F.sum("n").alias("n")) if grouped else counts
+    nodes = by.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+    total = F.expr(_SIZE.format("parts"))
+    nodes = nodes.select("parts", total.alias("total")).selectExpr("parts", f"transform(sequence(0, {shards - 1}), j -> cast(floor((total + {shards - 1} - j) / {shards}) as long)) as gets")
+    drawn = _halved(nodes, most["last"] // GROUP + 1 if grouped else most["n"], seed)
+    if grouped:
+        drawn = written(drawn, "groups").selectExpr("part as grp", "gets")
+        members = counts.selectExpr(f"part div {GROUP} as grp", "part", "n").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+        drawn = _halved(members.join(drawn, "grp").select("parts", "gets"), GROUP, seed + 1)
+    return drawn.select("part", "gets")
 
 
 def shuffled_shards(docs: DataFrame, shards: int = 8, seed: int = 17, rows_per_part: int = 20_000, least_parts: int = 256) -> DataFrame:
@@ -123,8 +164,8 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, seed: int = 17, rows_per_p
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    slim = slim.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
-    slim = written(slim, "rows")
+    slim = slim.withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", F.monotonically_increasing_id()))
+    slim = written(slim, "rows")  # the places are fixed here
     n = slim.count()
     parts = max(least_parts, -(-n // rows_per_part))
     slim = slim.withColumn("part", F.pmod("u", F.lit(parts)).cast("int"))

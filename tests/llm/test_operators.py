@@ -428,6 +428,25 @@ def test_shards(docs, none):
     assert sharding.shuffled_shards(none).count() == 0
 
 
+def test_communication_matrix_law(spark, monkeypatch):
+    """Rows and columns add up, with and without groups."""
+    sizes = {i: 3 + i % 5 for i in range(12)}
+    df = spark.createDataFrame(list(sizes.items()), "part int, n long")
+    n, shards = sum(sizes.values()), 3
+    want = [(n + shards - 1 - j) // shards for j in range(shards)]
+    for group in (1024, 4):
+        monkeypatch.setattr(sharding, "GROUP", group)
+        got = {r.part: r.gets for r in sharding.communication_matrix(df, shards, 100).collect()}
+        assert {p: sum(g) for p, g in got.items()} == sizes
+        assert [sum(g[j] for g in got.values()) for j in range(shards)] == want
+
+
+def test_copies_of_a_row_are_spread(spark):
+    df = spark.createDataFrame([(1, "same")] * 600 + [(i, "x") for i in range(200)], "doc_id long, text string").repartition(3)
+    got = sharding.shuffled_shards(df, shards=4, least_parts=16).where("doc_id = 1").groupBy("shard").count().collect()
+    assert len(got) == 4 and all(110 < r["count"] < 190 for r in got)
+
+
 def test_hypergeometric_law(spark):
     from pyspark.sql import functions as F
 
