@@ -1,41 +1,27 @@
-"""Checks of identifiers as Spark expressions, and the same checks for one value.
-
-The expressions serve columns of candidates; the functions serve the Arrow pass
-of the detectors, which also tries substitutions of confused characters.
-"""
+"""Checks of identifiers as Spark expressions, also of values in which text recognition confused characters."""
 
 from __future__ import annotations
 
-from itertools import combinations, product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakline.functions import fixed
 
 
-# ---------------------------------------------------------------- expressions
-
-
 def _position(c: Column) -> Column:
     """Value of a character in base 36."""
-    return F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(F.upper(c)) - 55)
 
 
 def _digit(v: Column, i: int) -> Column:
     return F.substring(v, i + 1, 1).cast("int")
 
 
-def _weighted(v: Column, weights: tuple, digit=_digit) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        if w:
-            total = total + w * digit(v, i)
-    return total
-
-
-def _letter(v: Column, i: int) -> Column:
-    return _position(F.substring(v, i + 1, 1))
+def _weighted(v: Column, weights: tuple, number=lambda c: c.cast("int")) -> Column:
+    """Sum of the first characters' values times weights."""
+    places = F.slice(F.split(v, ""), 1, len(weights))
+    products = F.zip_with(places, F.expr(f"array({', '.join(map(str, weights))})"), lambda c, w: number(c) * w)
+    return F.aggregate(products, F.lit(0), lambda a, x: a + x)
 
 
 def _when(shape: Column, check: Column) -> Column:
@@ -65,7 +51,7 @@ def _mod97(compact: Column) -> Column:
 def iban(value: Column) -> Column:
     v = F.regexp_replace(value, " ", "")
     national = F.concat(F.lit("PL"), v)
-    return F.when(v.rlike(r"^[0-9]{26}$"), _mod97(national)).when(v.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}$"), _mod97(v)).otherwise(False)
+    return F.when(v.rlike(r"^[0-9]{26}$"), _mod97(national)).when(v.rlike(r"^[A-Za-z]{2}[0-9]{2}[0-9A-Za-z]{11,30}$"), _mod97(v)).otherwise(False)
 
 
 def land_register(v: Column) -> Column:
@@ -75,11 +61,11 @@ def land_register(v: Column) -> Column:
     turned = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
     weight = lambda i: F.element_at(F.array(*[F.lit(w) for w in fixed.LAND_REGISTER_WEIGHTS]), (i % 3 + 1).cast("int"))
     total = F.aggregate(F.transform(turned, lambda c, i: c.cast("int") * weight(i)), F.lit(0), lambda a, x: a + x)
-    return _when(v.rlike(r"^[0-9A-Z]{4}/[0-9]{8}/[0-9]$"), total % 10 == F.substring(v, 15, 1).cast("int"))
+    return _when(v.rlike(r"^[0-9A-Za-z]{4}/[0-9]{8}/[0-9]$"), total % 10 == F.substring(v, 15, 1).cast("int"))
 
 
 def id_card(v: Column) -> Column:
-    return _when(v.rlike(r"^[A-Z]{3}[0-9]{6}$"), _weighted(v, fixed.ID_CARD_WEIGHTS, _letter) % 10 == _digit(v, 3))
+    return _when(v.rlike(r"^[A-Za-z]{3}[0-9]{6}$"), _weighted(v, fixed.ID_CARD_WEIGHTS, _position) % 10 == _digit(v, 3))
 
 
 def passport(v: Column) -> Column:
@@ -109,103 +95,28 @@ def ocr_digits(v: Column, check) -> Column:
     return letters.between(1, fixed.MOST_CONFUSED) & v.rlike("^[0-9OIlSBZ-]+$") & check(F.translate(v, "OIlSBZ", "011582"))
 
 
-EXPRESSIONS = {"pesel": pesel, "nip": nip, "regon": regon, "iban": iban, "land_register": land_register, "id_card": id_card, "passport": passport, "vehicle_vin": vin, "vehicle_plate": plate, "ip_address": ip}
-
-
-# ---------------------------------------------------------------- one value
-
-_ASCII = frozenset("0123456789")
-
-
-def _numbers(v: str, n: int) -> list[int] | None:
-    return [int(c) for c in v] if len(v) == n and _ASCII.issuperset(v) else None
-
-
-def _dot(a, b) -> int:
-    return sum(x * y for x, y in zip(a, b, strict=False))
-
-
-def is_pesel(v: str) -> bool:
-    d = _numbers(v, 11)
-    return d is not None and -_dot(d, fixed.PESEL_WEIGHTS) % 10 == d[10]
+def corrected(v: Column, check) -> Column:
+    """Whether one or two substitutions of confused characters make a value of letters and digits pass a check."""
+    others = F.create_map(*[x for c, to in fixed.CONFUSED.items() for x in (F.lit(c), F.array(*[F.lit(t) for t in to]))])
 
+    def replaced(text, first):
+        """(text, at) with one confused character from the given place on replaced."""
+        at_each = lambda i: F.transform(
+            F.coalesce(F.try_element_at(others, F.substring(text, i, F.lit(1))), F.array().cast("array<string>")),
+            lambda t: F.struct(F.concat(F.substring(text, F.lit(1), i - 1), t, F.substring(text, i + 1, F.length(text))).alias("text"), i.alias("at")),
+        )
+        return F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: i >= first), at_each))
 
-def is_nip(v: str) -> bool:
-    d = _numbers(v.replace("-", ""), 10)
-    return d is not None and _dot(d, fixed.NIP_WEIGHTS) % 11 == d[9]
+    each = F.transform(F.array(v), lambda x: replaced(x, F.lit(1)))[0]
+    both = F.flatten(F.transform(each, lambda x: F.concat(F.array(x), replaced(x["text"], x["at"] + 1))))
+    return F.exists(both, lambda x: check(x["text"]))
 
 
-def is_regon(v: str) -> bool:
-    d = _numbers(v, len(v))
-    if not d or len(d) not in (9, 14) or _dot(d, fixed.REGON_WEIGHTS) % 11 % 10 != d[8]:
-        return False
-    return len(d) == 9 or _dot(d, fixed.REGON14_WEIGHTS) % 11 % 10 == d[13]
-
-
-def is_iban(v: str) -> bool:
-    v = v.replace(" ", "")
-    if _numbers(v, 26):
-        v = "PL" + v
-    elif not (15 <= len(v) <= 34 and v[:2].isalpha() and _ASCII.issuperset(v[2:4])):
-        return False
-    try:
-        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
-    except ValueError:
-        return False
-
-
-def is_land_register(v: str) -> bool:
-    court, _, rest = v.partition("/")
-    number, _, check = rest.partition("/")
-    if len(court) != 4 or not _numbers(number, 8) and number != "00000000" or not (len(check) == 1 and check in _ASCII):
-        return False
-    try:
-        digits = "".join(str(int(c, 36)) for c in court) + number
-    except ValueError:
-        return False
-    return sum(int(c) * fixed.LAND_REGISTER_WEIGHTS[i % 3] for i, c in enumerate(reversed(digits))) % 10 == int(check)
-
-
-def is_id_card(v: str) -> bool:
-    if len(v) != 9 or not v[:3].isalpha() or not _ASCII.issuperset(v[3:]):
-        return False
-    try:
-        d = [int(c, 36) for c in v]
-    except ValueError:
-        return False
-    return _dot(d, fixed.ID_CARD_WEIGHTS) % 10 == d[3]
-
-
-def is_passport(v: str) -> bool:
-    return len(v) == 9 and v[:2].isalpha() and _ASCII.issuperset(v[2:])
-
-
-def is_vin(v: str) -> bool:
-    values = [int(c) if c in _ASCII else fixed.VIN_LETTERS.get(c) for c in v]
-    if len(v) != 17 or None in values:
-        return False
-    check = _dot(values, fixed.VIN_WEIGHTS) % 11
-    return v[8] == ("X" if check == 10 else str(check))
-
-
-def is_plate(v: str) -> bool:
-    return 5 <= len("".join(v.split())) <= 8
-
-
-def is_ip(v: str) -> bool:
-    parts = v.split(".")
-    return "." not in v or len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
+EXPRESSIONS = {"pesel": pesel, "nip": nip, "regon": regon, "iban": iban, "land_register": land_register, "id_card": id_card, "passport": passport, "vehicle_vin": vin, "vehicle_plate": plate, "ip_address": ip}
+#: Those whose values hold digits only, so that every letter must be one that was read for a digit.
+DIGITS_ONLY = ("pesel", "nip", "regon")
 
 
-def passes_corrected(v: str, check) -> bool:
-    """Whether one or two substitutions of confused characters make the value pass."""
-    places = [i for i, c in enumerate(v) if c in fixed.CONFUSED]
-    for n in range(1, fixed.MOST_CONFUSED + 1):
-        for chosen in combinations(places, n):
-            for letters in product(*(fixed.CONFUSED[v[i]] for i in chosen)):
-                tried = list(v)
-                for i, c in zip(chosen, letters, strict=True):
-                    tried[i] = c
-                if check("".join(tried)):
-                    return True
-    return False
+def passes_corrected(category: str, v: Column) -> Column:
+    check = EXPRESSIONS[category]
+    return ocr_digits(v, check) if category in DIGITS_ONLY else corrected(v, check)

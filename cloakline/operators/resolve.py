@@ -6,15 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakline.operators.detectors import DETECTION
+from cloakline.operators.spans import bound  # noqa: F401
 
 _EMPTY = f"array<{DETECTION}>"
 
 
-def bound(value: Column, body) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _none() -> Column:
     return F.array().cast(_EMPTY)
 
