@@ -61,17 +61,17 @@ AMOUNT = r"(?i)(?<!\d)(?P<value>(?:\d+(?:[ .]\d{3})*,\d{2}\s*(?:zł|PLN|EUR|USD)
 
 # --- fixed values: persons and institutions
 ROLES = (
-    "Pan", "Pani", r"Mec\.", "notariusz", "adwokat", "radca prawny", "pełnomocnik", "powód", "pozwany", "świadek", "wnioskodawca", "uczestnik",
-    "wynajmujący", "najemca", "wierzyciel", "dłużnik", "mocodawca", "apelujący", "spadkobierca",
-)
-ROLE_PERSON = rf"(?i:{'|'.join(ROLES)})\s+(?P<value>{WORD}\s+{WORD})"
+    r"Pan|Pani|Mec\.|notariusz|adwokat|radca prawny|pełnomocnik|powód|pozwany|świadek|wnioskodawca|uczestnik"
+    r"|wynajmujący|najemca|wierzyciel|dłużnik|mocodawca|apelujący|spadkobierca"
+)
+ROLE_PERSON = rf"(?i:{ROLES})\s+(?P<value>{WORD}\s+{WORD})"
 COURT = rf"(?P<value>(?:Sąd|Prokuratura|Komenda)\s+(?:Rejonowy|Rejonowa|Okręgowy|Okręgowa|Apelacyjny|Powiatowa|Miejska|Wojewódzka)\s+(?:Policji\s+)?w\s+{WORD})"
 _NAME = rf"[{UPPER}][\wąćęłńóśźż{UPPER}.\-]*"
 LEGAL_FORMS = (
-    r"[Ss]p\.?\s*[Zz]\s*[Oo]\.?[Oo]\.?", r"[Ss]półka\s+[Zz]\s*[Oo]graniczonią\s+Odpowiedzialności(?:ą)?", r"S\.?\s*A\.?", r"[Ss]półka\s+[Aa]kcyjna",
-    r"[Ss]p\.?\s*[KkJjPp]\.?", r"[Ss]półka\s+(?:Komandytowa|Jawna|Partnerska|Cywilna)", r"[Ss]\.?[Cc]\.?", r"sp\.\s*z\s+o\.\s*o\.\s*[Ss]p\.\s*[KkJj]\.?",
-)
-COMPANY = rf"(?P<value>{_NAME}(?:\s+(?:{_NAME}|[iw])){{0,5}}\s+(?:{'|'.join(LEGAL_FORMS)}))"
+    r"[Ss]p\.?\s*[Zz]\s*[Oo]\.?[Oo]\.?|[Ss]półka\s+[Zz]\s*[Oo]graniczonią\s+Odpowiedzialności(?:ą)?|S\.?\s*A\.?|[Ss]półka\s+[Aa]kcyjna"
+    r"|[Ss]p\.?\s*[KkJjPp]\.?|[Ss]półka\s+(?:Komandytowa|Jawna|Partnerska|Cywilna)|[Ss]\.?[Cc]\.?|sp\.\s*z\s+o\.\s*o\.\s*[Ss]p\.\s*[KkJj]\.?"
+)
+COMPANY = rf"(?P<value>{_NAME}(?:\s+(?:{_NAME}|[iw])){{0,5}}\s+(?:{LEGAL_FORMS}))"
 NAME_PAIR = rf"(?P<a>{WORD})\s+(?P<b>{WORD})"
 
 # --- fixed values: addresses
@@ -97,8 +97,10 @@ REGON14_WEIGHTS = (2, 4, 8, 5, 0, 9, 7, 3, 6, 1, 2, 4, 8)
 ID_CARD_WEIGHTS = (7, 3, 1, 0, 7, 3, 1, 7, 3)
 LAND_REGISTER_WEIGHTS = (1, 3, 7)
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
-#: A-H are 1-8, J-N 1-5, P 7, R 9, S-Z 2-9.
-VIN_LETTERS = dict(zip("ABCDEFGHJKLMNPRSTUVWXYZ", (1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9), strict=True))
+VIN_LETTERS = {
+    "A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8, "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9,
+    "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9,
+}
 #: Characters that text recognition takes for each other, and how many of them a value may hold.
 CONFUSED = {"O": "0", "0": "O", "I": "1l", "l": "1I", "1": "Il", "S": "5", "5": "S", "B": "8", "8": "B", "Z": "2", "2": "Z"}
 MOST_CONFUSED = 2
@@ -134,10 +136,11 @@ POLICIES = {category: NUMBER for category in LABELS} | {"date": LEAVE, "amount":
 POLISH_WORDS = ("na", "nie", "że", "się", "jest", "dla", "oraz", "przez", "który", "która", "które", "być", "są", "był", "była", "były", "ze", "we", "czy", "tak", "ale", "gdy", "aby", "bez", "pod", "nad", "jak", "co")
 PAGE_WORDS = ("i", "w", "na", "do", "nie", "jest", "się", "z", "że", "przez", "który", "która", "które", "dla", "oraz", "art")
 COMMON_CAPITALISED = (
-    "sąd sądu sądowi sądem sądzie prokuratura prokuratury prokuraturze prokuraturą urząd urzędu urzędem urzędzie kodeks kodeksu kodeksem kodeksie "
-    "artykuł artykułu artykule artykułem ustawa ustawy ustawie ustawą rzeczpospolita rzeczypospolitej polska polski polskiej polską pan pani państwo "
-    "państwa rejonowy rejonowego rejonowym okręgowy okręgowego okręgowym apelacyjny apelacyjnego apelacyjnym"
-).split()
+    "sąd", "sądu", "sądowi", "sądem", "sądzie", "prokuratura", "prokuratury", "prokuraturze", "prokuraturą", "urząd", "urzędu", "urzędem", "urzędzie",
+    "kodeks", "kodeksu", "kodeksem", "kodeksie", "artykuł", "artykułu", "artykule", "artykułem", "ustawa", "ustawy", "ustawie", "ustawą", "rzeczpospolita",
+    "rzeczypospolitej", "polska", "polski", "polskiej", "polską", "pan", "pani", "państwo", "państwa", "rejonowy", "rejonowego", "rejonowym", "okręgowy",
+    "okręgowego", "okręgowym", "apelacyjny", "apelacyjnego", "apelacyjnym",
+)
 NAME_SUFFIXES = (
     "skiego", "skiemu", "skimi", "skich", "skiej", "skim", "ska", "ski", "ckiego", "ckiemu", "ckimi", "ckich", "ckiej", "ckim", "cka", "cki",
     "owi", "ego", "emu", "ie", "em", "om", "y", "a", "e",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakline.functions import canonical, checksums, dates, fixed, text
 from cloakline.operators import detectors, evaluate, label, names, resolve, review, spans
-from cloakline.plans import deidentify, planted
+from cloakline.plans import deidentify, planted, planted_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,13 +222,6 @@ def _golden_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-def golden_noise(spark, sf_dir):
-    """The same over PESEL numbers with one digit read as a letter."""
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), evaluate.noised(evaluate.pesel(F.col("c_custkey")), F.col("c_custkey")).alias("v"))
-    blocks = rows.select("doc_id", F.lit(0).alias("block_ix"), F.concat(F.lit("PESEL "), F.col("v")).alias("text"))
-    return deidentify.detect(blocks).select("doc_id", F.explode("resolved").alias("d")).select("doc_id", "d.category", "d.value", "d.score")
-
-
 def overlap_folds(spark, sf_dir):
     """Resolution and collapsing of spans made from line items of an order."""
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_quantity").cast("int") % 20 + 1).alias("n"), F.col("l_linenumber").cast("int").alias("seq"))
@@ -250,6 +243,63 @@ def hmac_keys(spark, sf_dir):
     return rows.select(F.col("n_name").alias("name"), canonical.hmac_sha256(F.encode(F.lit("salt"), "utf-8"), F.concat(F.lit("person:"), F.lower("n_name"))).alias("key"))
 
 
+# ---------------------------------------------------------------- SQL of the functions over whole texts
+
+# other letters, digits and white space than ASCII's become one of these, so that \\b and \\s mean what they mean in Unicode
+_ASCII_TEXT = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\pL\\pM\\pN]', chr(1), 'g'), '[^\\x00-\\x7F]', 'x', 'g')"
+PLATES_SQL = f"""
+WITH t AS (SELECT doc_id, text, {_ASCII_TEXT} AS u FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, text, regexp_extract_all(u, '\\b[A-Z]{{2,3}}\\s?[A-Z0-9]{{4,5}}\\b') AS w, string_split_regex(u, '\\b[A-Z]{{2,3}}\\s?[A-Z0-9]{{4,5}}\\b') AS g FROM t),
+s AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
+p AS (SELECT doc_id, text, length(w[i]) AS n, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS start FROM s)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS "end", substr(text, CAST(start AS BIGINT) + 1, n) AS value FROM p
+WHERE length(regexp_replace(substr(text, CAST(start AS BIGINT) + 1, n), '\\s', '', 'g')) BETWEEN 5 AND 8"""
+
+LAYERS_SQL = f"""
+WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '[^\\pL\\pN\\s\\x0B]', '', 'g')) / greatest(length(text), 1) AS share, length(regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS n,
+  regexp_replace(text, '[^\\x00-\\x7F\\pL\\pM\\pN]', ' ', 'g') AS u FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN share >= 0.85 WHEN n = 0 THEN false WHEN n < 20 THEN true WHEN share < 0.6 THEN false
+  WHEN regexp_matches(lower(u), '(?:^|[^\\pL\\pM\\pN_])(?:{'|'.join(fixed.PAGE_WORDS)})(?:$|[^\\pL\\pM\\pN_])') THEN true ELSE share >= 0.85 END AS trusted FROM t"""
+
+REFLOW_SQL = """
+WITH RECURSIVE l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, chr(13) || chr(10), chr(10), 'g'), chr(13), chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_transform(x, lambda y: regexp_replace(y, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS x FROM l),
+r AS (SELECT doc_id, x, 0 AS i, '' AS now, CAST([] AS VARCHAR[]) AS done FROM p
+  UNION ALL
+  SELECT doc_id, x, i + 1, CASE WHEN shut THEN '' ELSE held END, CASE WHEN shut AND held <> '' THEN list_append(done, held) ELSE done END FROM (
+    SELECT *, line = '' OR regexp_matches(line, '[.:;!?…”"''\\)\\]]$') AS shut, CASE WHEN line = '' THEN now WHEN now = '' THEN line
+      WHEN regexp_matches(now, '-\\s*$') THEN regexp_replace(now, '-\\s*$', '') || line ELSE now || ' ' || line END AS held
+    FROM (SELECT *, x[i + 1] AS line FROM r WHERE i < len(x)) AS a) AS b)
+SELECT doc_id, array_to_string(CASE WHEN now <> '' THEN list_append(done, now) ELSE done END, chr(10) || chr(10)) AS text FROM r WHERE i = len(x)
+UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"""
+
+
+def _hmac_sql(key: bytes = b"salt") -> str:
+    padded = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in padded).hex() for x in (0x36, 0x5C))
+    return f"SELECT n_name AS name, sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('person:' || lower(n_name))))) AS key FROM nation"
+
+
+HMAC_SQL = _hmac_sql()
+
+OVERLAP_SQL = """
+WITH RECURSIVE s AS (SELECT l_orderkey AS id, CAST(l_partkey % 40 AS INTEGER) AS a, CAST(l_partkey % 40 + CAST(trunc(l_quantity) AS INTEGER) % 20 + 1 AS INTEGER) AS b, CAST(l_linenumber AS INTEGER) AS seq FROM lineitem),
+t AS (SELECT id, {'a': a, 'b': b, 'p': seq % 3 * 10, 'n': seq % 2 = 0, 's': seq} AS d FROM s),
+o AS (SELECT id, list(d ORDER BY d.p DESC, d.a - d.b, d.a, d.s) AS x FROM t GROUP BY id),
+r AS (SELECT id, x, 0 AS i, x[1:0] AS held FROM o
+  UNION ALL
+  SELECT id, x, i + 1, CASE WHEN len(c) = 0 OR (len(list_filter(c, lambda h: NOT ((h.a <= d.a AND d.b <= h.b OR d.a <= h.a AND h.b <= d.b) AND NOT (h.a = d.a AND h.b = d.b)))) = 0
+      AND (d.n OR len(list_filter(c, lambda h: h.n)) > 0)) THEN list_append(held, d) ELSE held END
+  FROM (SELECT *, list_filter(held, lambda h: h.a < d.b AND d.a < h.b) AS c FROM (SELECT *, x[i + 1] AS d FROM r WHERE i < len(x)) AS q) AS u),
+v AS (SELECT id, len(held) AS resolved, list_transform(held, lambda h: h) AS y FROM r WHERE i = len(x)),
+z AS (SELECT id, resolved, (SELECT list(e ORDER BY e.a, e.a - e.b, e.s) FROM (SELECT unnest(y) AS e)) AS y FROM v),
+k AS (SELECT id, resolved, y, 0 AS i, y[1:0] AS held FROM z
+  UNION ALL
+  SELECT id, resolved, y, i + 1, CASE WHEN len(c) = 0 OR d.p > list_max(list_transform(c, lambda h: h.p)) THEN list_append(list_filter(held, lambda h: NOT (h.a < d.b AND d.a < h.b)), d) ELSE held END
+  FROM (SELECT *, list_filter(held, lambda h: h.a < d.b AND d.a < h.b) AS c FROM (SELECT *, y[i + 1] AS d FROM k WHERE i < len(y)) AS q) AS u)
+SELECT id, CAST(resolved AS INTEGER) AS resolved, CAST(len(held) AS INTEGER) AS collapsed FROM k WHERE i = len(y)"""
+
+
 def queries() -> dict:
     return {
         "anonymize_documents": anonymize_documents, "detect_documents": detect_documents, "document_results": document_results,
@@ -258,8 +308,8 @@ def queries() -> dict:
         "polish_documents": polish_documents, "reflow_documents": reflow_documents, "page_layers": page_layers, "missed_words": missed_words, "leak_check": leak_check,
         "check_pesel": check_pesel, "check_nip": check_nip, "check_regon": check_regon, "check_iban": check_iban, "check_id_card": check_id_card, "check_land_register": check_land_register,
         "canonical_forms": canonical_forms, "hmac_keys": hmac_keys, "shift_dates": shift_dates, "find_amounts": find_amounts, "surname_forms": surname_forms,
-        "golden_recall": golden_recall, "golden_noise": golden_noise, "overlap_folds": overlap_folds,
-    } | planted.queries()
+        "golden_recall": golden_recall, "overlap_folds": overlap_folds,
+    } | planted.queries() | planted_documents.queries()
 
 
 def oracle_sql() -> dict:
@@ -272,4 +322,5 @@ def oracle_sql() -> dict:
         "number_conversations": NUMBER_SQL, "small_cells": SMALL_SQL, "polish_documents": POLISH_SQL,
         "check_pesel": PESEL_SQL, "check_nip": NIP_SQL, "check_regon": REGON_SQL, "check_iban": IBAN_SQL, "check_id_card": ID_CARD_SQL, "check_land_register": LAND_SQL,
         "canonical_forms": CANONICAL_SQL, "shift_dates": SHIFT_SQL, "find_amounts": AMOUNT_SQL, "surname_forms": _inflection_sql(), "golden_recall": _golden_sql(),
-    } | planted.oracle_sql()
+        "detect_plates": PLATES_SQL, "page_layers": LAYERS_SQL, "reflow_documents": REFLOW_SQL, "hmac_keys": HMAC_SQL, "overlap_folds": OVERLAP_SQL,
+    } | planted.oracle_sql() | planted_documents.oracle_sql()

@@ -64,10 +64,12 @@ def anonymize(blocks: DataFrame, options: Options = Options(), keys: tuple = ("d
     return rows.withColumn("anonymized", text).drop("labels")
 
 
-def results(blocks: DataFrame, options: Options = Options()) -> DataFrame:
-    """Per document: text, entity_count, uncertain, potentially_missed, rare, polish and leaks, for review before release."""
+def results(blocks: DataFrame, options: Options = Options(), found: DataFrame | None = None) -> DataFrame:
+    """Per document: text, entity_count, uncertain, potentially_missed, rare, polish and leaks, for review before release.
+
+    found are the detections of detect(), if they are at hand; a table that was written spares detecting for each part."""
     keys = ("doc_id", "block_ix")
-    found = detect(blocks, options, keys)
+    found = detect(blocks, options, keys) if found is None else found
     spans = replacements(found, options, keys)
     text = anonymize(blocks, options, keys, spans)
     whole = text.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "anonymized"))), lambda b: b["anonymized"]), "\n\n").alias("text"))

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakline.operators import review
-from cloakline.plans.deidentify import Options, anonymize, results
+from cloakline.plans.deidentify import Options, anonymize, detect, replacements, results
 
 
 def stage(blocks: DataFrame, staging: str, options: Options = Options()) -> None:
     """Write text (doc_id, block_ix, anonymized), review (results per document) and leaks under staging.
 
-    Leaks are looked for in what was written, not in what should have been.
+    Texts are searched once: what was found is written first, all else is made from it, and it is deleted in the end,
+    as it holds values. Leaks are looked for in what was written, not in what should have been.
     """
     spark = blocks.sparkSession
-    anonymize(blocks, options).select("doc_id", "block_ix", "anonymized").write.mode("overwrite").parquet(f"{staging}/text")
-    text = spark.read.parquet(f"{staging}/text").withColumnRenamed("anonymized", "text")
-    review.leak_findings(text, ["doc_id", "block_ix"]).write.mode("overwrite").parquet(f"{staging}/leaks")
-    results(blocks, options).drop("text").write.mode("overwrite").parquet(f"{staging}/review")
+    detect(blocks, options).write.mode("overwrite").parquet(f"{staging}/found")
+    found = spark.read.parquet(f"{staging}/found")
+    try:
+        plain = found.select("doc_id", "block_ix", "text")
+        anonymize(plain, options, spans=replacements(found, options)).select("doc_id", "block_ix", "anonymized").write.mode("overwrite").parquet(f"{staging}/text")
+        text = spark.read.parquet(f"{staging}/text").withColumnRenamed("anonymized", "text")
+        review.leak_findings(text, ["doc_id", "block_ix"]).write.mode("overwrite").parquet(f"{staging}/leaks")
+        results(plain, options, found).drop("text").write.mode("overwrite").parquet(f"{staging}/review")
+    finally:
+        discard(spark, f"{staging}/found")
 
 
 def promote(spark: SparkSession, staging: str, target: str, acknowledged: bool = False) -> None:

@@ -1,8 +1,11 @@
 """Files as rows: format by content, text blocks of plain text and office files, and their rewriting.
 
-Office files are zip archives of XML parts, read and written with the standard
-library inside Arrow batches; a row is a file, so files run in parallel. PDF
-and images need libraries that are no dependency: they yield a row that says so.
+Office files are zip archives of XML parts, read with the standard library inside
+Arrow batches; a row is a file, so files run in parallel. Rewriting works on the
+XML's own characters: labels are put between them and everything else, prefixes
+and declarations included, stays byte by byte. PDF, images and old formats need
+libraries or programs that are no dependency: a reader or converter is a function
+that the caller passes (see documents.py); without one they yield a row that says so.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +23,6 @@ from pyspark.sql import functions as F
 BLOCK = "path string, format string, block_ix int, kind string, part_name string, text string, error string"
 _NAMES = ["path", "format", "block_ix", "kind", "part_name", "text", "error"]
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-ODT_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 
 # --- fixed values: parts whose text flows, parts that hold no text, attributes that are technical
 FLOW = re.compile(r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")
@@ -53,51 +56,6 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.split("value", "\n\n", -1)).alias("block_ix", "text"))
 
 
-def local(name: str) -> str:
-    return name.rpartition("}")[2]
-
-
-def _pieces(root):
-    """(holder, 'text' or 'tail') in document order."""
-    yield root, "text"
-    for child in root:
-        yield from _pieces(child)
-        yield child, "tail"
-
-
-def _docx_parts(z: zipfile.ZipFile):
-    for name in sorted(z.namelist()):
-        if name.endswith((".xml", ".rels")) and not NO_TEXT.search(name):
-            yield name, ET.fromstring(z.read(name))
-
-
-def _attributes(name: str, root):
-    """(element, attribute) of the values that may hold text; of relations only targets outside."""
-    for element in root.iter():
-        if name.endswith(".rels"):
-            if element.get("TargetMode") == "External" and element.get("Target"):
-                yield element, "Target"
-            continue
-        for key in element.keys():
-            if not TECHNICAL.fullmatch(local(key)):
-                yield element, key
-
-
-def blocks_of(content: bytes, kind: str) -> list[tuple[str, str, str]]:
-    """(kind, part, text) of an office file."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if kind == "docx":
-            for name, root in _docx_parts(z):
-                joint = "" if FLOW.search(name) else "\n"
-                out.append(("part", name, joint.join(getattr(h, w) for h, w in _pieces(root) if getattr(h, w))))
-                out += [("attr", name, e.get(k)) for e, k in _attributes(name, root)]
-        else:
-            root = ET.fromstring(z.read("content.xml"))
-            out += [("paragraph", "content.xml", "".join(p.itertext())) for p in root.iter() if p.tag in (f"{ODT_TEXT}p", f"{ODT_TEXT}h")]
-    return out
-
-
 def zip_kind(content: bytes, path: str) -> str:
     """docx or odt by what the archive holds, then by the name."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -134,50 +92,150 @@ def office_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "content", "format").mapInArrow(run, BLOCK)
 
 
-def _put(pieces, joint: str, labels: list[tuple[int, int, str]]) -> None:
-    """Labels into the first piece that a span touches; the others lose their share."""
-    at, places = 0, []
-    for holder, where in pieces:
-        text = getattr(holder, where)
-        if text:
-            places.append((at, at + len(text), holder, where))
-            at += len(text) + len(joint)
-    for start, end, label in sorted(labels, reverse=True):
-        first = True
-        touched = [p for p in places if p[0] < end and start < p[1]]
-        for a, b, holder, where in touched:
-            text = getattr(holder, where)
-            x, y = max(start - a, 0), min(end, b) - a
-            setattr(holder, where, text[:x] + (label if first else "") + text[y:])
-            first = False
+_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<raw>.*?)\]\]>|<\?.*?\?>|<![^>]*>|<(?P<close>/?)(?P<tag>[^\s/>]+)(?P<rest>(?:\s+[^\s=>/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?P<empty>/?)>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.S)
+_ENTITY = re.compile(r"&(#x[0-9A-Fa-f]+|#[0-9]+|amp|lt|gt|quot|apos);")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _characters(raw: str, whole: bool = False) -> list[tuple[str, int, int]]:
+    """(character, start, end) of text in a part's source; references are one character, a CR LF is one line feed."""
+    out, at = [], 0
+    for m in [] if whole else _ENTITY.finditer(raw):
+        out += [(c, at + i, at + i + 1) for i, c in enumerate(raw[at : m.start()])]
+        name = m[1]
+        out.append((_NAMED.get(name) or chr(int(name[2:], 16) if name[1] == "x" else int(name[1:])), m.start(), m.end()))
+        at = m.end()
+    out += [(c, at + i, at + i + 1) for i, c in enumerate(raw[at:])]
+    lines = []
+    for c, a, b in out:
+        if c == "\n" and b == a + 1 and lines and lines[-1][0] == "\r" and raw[a - 1 : a] == "\r":
+            lines[-1] = ("\n", lines[-1][1], b)
+        else:
+            lines.append((c, a, b))
+    return [("\n" if c == "\r" and raw[a:b] == "\r" else c, a, b) for c, a, b in lines]
+
+
+class Source:
+    """A part's XML as characters: its pieces of text and its attribute values, with their places."""
+
+    def __init__(self, data: bytes):
+        self.bom = data.startswith(b"\xef\xbb\xbf")
+        self.text = data.decode("utf-8-sig")
+        ET.fromstring(data)  # what is no XML is an error before anything is written
+        self.pieces: list[tuple[int, int, bool, tuple]] = []  # start, end, CDATA, the elements around
+        self.attributes: list[tuple[str, str, int, int, dict]] = []  # element, name, start, end, all of the element's
+        self.tags: list[tuple[str, int, int, tuple]] = []  # element, start and end of its markup, the elements around
+        around, at, n = [], 0, 0
+        for m in _MARKUP.finditer(self.text):
+            if m.start() > at and around:
+                self.pieces.append((at, m.start(), False, tuple(around)))
+            at = m.end()
+            if m["raw"] is not None and around:
+                self.pieces.append((*m.span("raw"), True, tuple(around)))
+            if m["tag"] is None:
+                continue
+            if m["close"]:
+                _, start, _ = around.pop()
+                self.tags.append((m["tag"], start, m.end(), tuple(around)))
+                continue
+            found = [(a[1], *(a.span(2) if a[2] is not None else a.span(3))) for a in _ATTRIBUTE.finditer(m["rest"])]
+            base = m.start("rest")
+            values = {name: m["rest"][x:y] for name, x, y in found}
+            self.attributes += [(m["tag"], name, base + x, base + y, values) for name, x, y in found if not (name == "xmlns" or name.startswith("xmlns:"))]
+            if m["empty"]:
+                self.tags.append((m["tag"], m.start(), m.end(), tuple(around)))
+            else:
+                around.append((m["tag"], m.start(), n))
+                n += 1
+        self.edits: list[tuple[int, int, str]] = []
+
+    def put(self, pieces: list[tuple], joint: str, labels: list[tuple[int, int, str]]) -> None:
+        """Labels (by place in the joined texts of pieces) into the first piece each touches; the others lose their share."""
+        at, places = 0, []
+        for start, end, raw, _ in pieces:
+            found = _characters(self.text[start:end], raw)
+            if found:
+                places.append((at, at + len(found), start, found, raw))
+                at += len(found) + len(joint)
+        for a, b, label in labels:
+            first = True
+            for x, y, base, found, raw in places:
+                if x < b and a < y:
+                    i, j = max(a - x, 0), min(b, y) - x
+                    shown = label if raw else escape(label, {'"': "&quot;"})
+                    self.edits.append((base + found[i][1], base + found[j - 1][2], shown if first else ""))
+                    first = False
+
+    def written(self) -> bytes:
+        text, out, at = self.text, [], 0
+        for a, b, new in sorted(self.edits):
+            out += [text[at:a], new]
+            at = b
+        return (b"\xef\xbb\xbf" if self.bom else b"") + "".join([*out, text[at:]]).encode()
+
+
+def _plain(name: str) -> str:
+    return name.rpartition(":")[2]
+
+
+def _text_attributes(name: str, source: Source) -> list[tuple[int, int]]:
+    """Places of the attribute values that may hold text; of relations only targets outside."""
+    if name.endswith(".rels"):
+        return [(a, b) for _, key, a, b, every in source.attributes if key == "Target" and every.get("TargetMode") == "External" and b > a]
+    return [(a, b) for _, key, a, b, _ in source.attributes if not TECHNICAL.fullmatch(_plain(key))]
+
+
+def _units(name: str, source: Source, kind: str):
+    """(kind, pieces, joint) of a part's blocks in their order."""
+    if kind == "docx":
+        yield "part", source.pieces, "" if FLOW.search(name) else "\n"
+        for a, b in _text_attributes(name, source):
+            yield "attr", [(a, b, False, ())], ""
+        return
+    paragraphs: dict[int, list] = {}
+    starts = sorted(start for tag, start, _, _ in source.tags if tag in ("text:p", "text:h"))
+    for start in starts:
+        paragraphs[start] = []
+    for piece in source.pieces:
+        for tag, start, _ in piece[3]:
+            if tag in ("text:p", "text:h"):
+                paragraphs[start].append(piece)
+    for start in starts:
+        yield "paragraph", paragraphs[start], ""
+
+
+def _parts(z: zipfile.ZipFile, kind: str):
+    if kind == "docx":
+        names = [n for n in sorted(z.namelist()) if n.endswith((".xml", ".rels")) and not NO_TEXT.search(n)]
+    else:
+        names = ["content.xml"]
+    for name in names:
+        yield name, Source(z.read(name))
+
+
+def blocks_of(content: bytes, kind: str) -> list[tuple[str, str, str]]:
+    """(kind, part, text) of an office file."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name, source in _parts(z, kind):
+            for unit, pieces, joint in _units(name, source, kind):
+                texts = ["".join(c for c, _, _ in _characters(source.text[a:b], raw)) for a, b, raw, _ in pieces]
+                out.append((unit, name, joint.join(t for t in texts if t)))
+    return out
 
 
 def rewritten(content: bytes, kind: str, labels: dict[int, list[tuple[int, int, str]]]) -> bytes:
-    """The office file with labels (by block number) in place; all other entries stay byte by byte."""
+    """The office file with labels (by block number) in place; all else stays byte by byte."""
     out, ix = io.BytesIO(), 0
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         changed: dict[str, bytes] = {}
-        if kind == "docx":
-            for name, root in _docx_parts(z):
-                edits = bool(labels.get(ix))
-                _put(list(_pieces(root)), "" if FLOW.search(name) else "\n", labels.get(ix, []))
-                ix += 1
-                for element, key in list(_attributes(name, root)):
-                    if labels.get(ix):
-                        edits, value = True, element.get(key)
-                        for a, b, label in sorted(labels[ix], reverse=True):
-                            value = value[:a] + label + value[b:]
-                        element.set(key, value)
-                    ix += 1
-                if edits:
-                    changed[name] = ET.tostring(root, "utf-8", xml_declaration=True)
-        else:
-            root = ET.fromstring(z.read("content.xml"))
-            for p in [p for p in root.iter() if p.tag in (f"{ODT_TEXT}p", f"{ODT_TEXT}h")]:
-                _put([x for x in _pieces(p)], "", labels.get(ix, []))
+        for name, source in _parts(z, kind):
+            for _, pieces, joint in _units(name, source, kind):
+                source.put(pieces, joint, labels.get(ix, []))
                 ix += 1
-            if labels:
-                changed["content.xml"] = ET.tostring(root, "utf-8", xml_declaration=True)
+            if source.edits:
+                changed[name] = source.written()
         for entry in z.infolist():
             new.writestr(entry, changed.get(entry.filename, z.read(entry.filename)))
     return out.getvalue()
@@ -197,11 +255,9 @@ def scrubbed(content: bytes) -> bytes:
 
     def edit(name, data):
         if name in ("docProps/core.xml", "docProps/app.xml", "meta.xml"):
-            root = ET.fromstring(data)
-            for e in root.iter():
-                if local(e.tag) in SCRUBBED:
-                    e.text = ""
-            return ET.tostring(root, "utf-8", xml_declaration=True)
+            source = Source(data)
+            source.edits = [(a, b, "") for a, b, _, around in source.pieces if _plain(around[-1][0]) in SCRUBBED]
+            return source.written()
 
     return _edited(content, edit)
 
@@ -211,10 +267,9 @@ def unprotected(content: bytes) -> bytes:
 
     def edit(name, data):
         if name == "word/settings.xml":
-            root = ET.fromstring(data)
-            for e in root.findall(f"{W}documentProtection"):
-                root.remove(e)
-            return ET.tostring(root, "utf-8", xml_declaration=True)
+            source = Source(data)
+            source.edits = [(a, b, "") for tag, a, b, _ in source.tags if _plain(tag) == "documentProtection"]
+            return source.written()
 
     return _edited(content, edit)
 
@@ -226,21 +281,31 @@ def tracked_changes(content: bytes) -> bool:
 
 
 def rewritten_files(files: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, content) of office files with labels (path, block_ix, start, end, label) put in, and metadata removed."""
+    """(path, content, error) of office files with labels (path, block_ix, start, end, label) put in, and metadata
+    removed. A file that can't be rewritten has no content and its error's kind."""
     lists = labels.groupBy("path").agg(F.collect_list(F.struct("block_ix", "start", "end", "label")).alias("labels"))
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, errors = [], []
             for path, content, kind, found in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 by: dict[int, list] = {}
                 for r in found or []:
                     by.setdefault(r["block_ix"], []).append((r["start"], r["end"], r["label"]))
-                kind = zip_kind(content, path) if kind == "zip" else kind
-                out.append(scrubbed(unprotected(rewritten(content, kind, by))) if kind in ("docx", "odt") else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
+                new = error = None
+                try:
+                    kind = zip_kind(content, path) if kind == "zip" else kind
+                    if kind not in ("docx", "odt"):
+                        raise ValueError("not an office file")
+                    new = scrubbed(unprotected(rewritten(content, kind, by)))
+                except Exception as e:  # one bad file must not stop the others; the message holds no content
+                    error = str(e) if type(e) is ValueError else type(e).__name__
+                out.append(new)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["path", "content", "error"])
 
-    return files.join(lists, "path", "left").select("path", "content", "format", "labels").mapInArrow(run, "path string, content binary")
+    rows = files.join(lists, "path", "left").select("path", "content", "format", "labels")
+    return rows.mapInArrow(run, "path string, content binary, error string")
 
 
 def neutral_names(files: DataFrame, order: str = "path", stem: str = "dokument_zanonimizowany") -> DataFrame:

@@ -31,9 +31,9 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def enlarged(image: np.ndarray, least: int = LEAST_SIDE) -> np.ndarray:
-    """The image with its longer side brought up to `least` by bilinear interpolation; larger ones stay."""
-    side = max(image.shape)
-    if not side or side >= least:
+    """The image with its width brought up to `least` by bilinear interpolation; wider ones stay."""
+    side = image.shape[1]
+    if not image.size or side >= least:
         return image
     height, width = (max(1, round(n * least / side)) for n in image.shape)
     y, x = ((np.arange(m) + 0.5) * n / m - 0.5 for m, n in ((height, image.shape[0]), (width, image.shape[1])))
@@ -47,15 +47,19 @@ def enlarged(image: np.ndarray, least: int = LEAST_SIDE) -> np.ndarray:
 
 
 def rotated(image: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
-    """The image turned about its middle, in its own frame."""
+    """The image turned about its middle, in a frame that holds all of it."""
+    if not degrees or not image.size:
+        return image
     height, width = image.shape
     angle = np.deg2rad(degrees)
-    y, x = np.mgrid[:height, :width]
-    y, x = y - (height - 1) / 2, x - (width - 1) / 2
+    cos, sin = abs(np.cos(angle)), abs(np.sin(angle))
+    tall, wide = int(np.ceil(height * cos + width * sin - 1e-9)), int(np.ceil(width * cos + height * sin - 1e-9))
+    y, x = np.mgrid[:tall, :wide]
+    y, x = y - (tall - 1) / 2, x - (wide - 1) / 2
     from_x = np.rint(np.cos(angle) * x - np.sin(angle) * y + (width - 1) / 2).astype(int)
     from_y = np.rint(np.sin(angle) * x + np.cos(angle) * y + (height - 1) / 2).astype(int)
     inside = (from_x >= 0) & (from_x < width) & (from_y >= 0) & (from_y < height)
-    out = np.full_like(image, fill)
+    out = np.full((tall, wide), fill, image.dtype)
     out[inside] = image[from_y[inside], from_x[inside]]
     return out
 
@@ -66,7 +70,14 @@ def skew(image: np.ndarray, largest: float = LARGEST_ANGLE, step: float = ANGLE_
     small = image[::stride, ::stride]
     angles = np.arange(-largest, largest + step / 2, step)
     angles = angles[np.argsort(np.abs(angles), kind="stable")]  # of equals, the least turn
-    scores = [np.var((255 - rotated(small, a).astype(np.float64)).sum(1)) for a in angles]
+    height, width = small.shape
+
+    def framed(angle: float) -> np.ndarray:
+        turned = rotated(small, angle)
+        y, x = (turned.shape[0] - height) // 2, (turned.shape[1] - width) // 2
+        return turned[y : y + height, x : x + width]
+
+    scores = [np.var((255 - framed(a).astype(np.float64)).sum(1)) for a in angles]
     return float(angles[int(np.argmax(scores))])
 
 
