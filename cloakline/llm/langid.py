@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cloakline.llm.common import arrow_bytes, pieces, unit
 
-WINDOW, LEAD, BATCH = 256, 48, 2048
+WINDOW, LEAD, BATCH = 512, 32, 2048
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -160,6 +160,8 @@ class Network:
         most = int(length[0])
         logits = np.zeros((most, n, len(self.languages)), np.float32)
         every = np.arange(n)
+        # written over at each step, as fresh memory of this size costs more than the arithmetic
+        gates, products, zr, c, new = (np.empty((n, k * h), np.float32) for k in (3, 3, 2, 1, 1))
         for d, output in (("f", self.w["o"][:h]), ("b", self.w["o"][h:])):
             x, u = self.fast[d]
             state = np.zeros((n, h), np.float32)
@@ -167,25 +169,25 @@ class Network:
             for t in range(-lead, most):
                 m = n if t <= 0 else int(np.searchsorted(-length, -t, "left"))
                 at = start[:m] + t if d == "f" else end[:m] - 1 - t
-                v = state[:m] @ u
-                g = x[data[np.clip(at, 0, len(data) - 1)] if t < 0 else data[at]]
-                zr = np.tanh(g[:, : 2 * h] + v[:, : 2 * h])
-                zr *= 0.5
-                zr += 0.5
-                c = v[:, 2 * h :] * zr[:, h:]
-                c += g[:, 2 * h :]
-                np.tanh(c, out=c)
-                new = state[:m] - c
-                new *= zr[:, :h]
-                new += c
+                g, v, zr_, c_, new_, s = gates[:m], products[:m], zr[:m], c[:m], new[:m], state[:m]
+                np.take(x, np.take(data, at, mode="clip"), axis=0, out=g, mode="clip")
+                np.matmul(s, u, out=v)
+                np.add(g[:, : 2 * h], v[:, : 2 * h], out=zr_)
+                np.tanh(zr_, out=zr_)
+                zr_ *= 0.5
+                zr_ += 0.5
+                np.multiply(v[:, 2 * h :], zr_[:, h:], out=c_)
+                c_ += g[:, 2 * h :]
+                np.tanh(c_, out=c_)
+                np.subtract(s, c_, out=new_)
+                new_ *= zr_[:, :h]
+                np.add(new_, c_, out=s)
                 if t < 0:  # before the text begins there is no state
-                    new *= ((at >= low) if d == "f" else (at < high))[:, None]
-                state[:m] = new
-                if t >= 0:
-                    if d == "f":
-                        logits[t, :m] = new @ output
-                    else:
-                        logits[length[:m] - 1 - t, every[:m]] += new @ output
+                    s *= ((at >= low) if d == "f" else (at < high))[:, None]
+                elif d == "f":
+                    np.matmul(s, output, out=logits[t, :m])
+                else:
+                    logits[length[:m] - 1 - t, every[:m]] += s @ output
         logits += self.w["c"]
         logits -= logits.max(2, keepdims=True)
         np.exp(logits, out=logits)
@@ -215,7 +217,7 @@ def sample(docs: DataFrame, per_language: int = 300, spans: int = 16, chars: int
     return each.select("lang", "doc_id", "number", F.substring("text", place.cast("int"), F.lit(chars)).alias("part"))
 
 
-def fitted(docs: DataFrame, per_language: int = 300, spans: int = 16, chars: int = 64, hidden: int = 16, steps: int = 200, seed: int = 5) -> Network | None:
+def fitted(docs: DataFrame, per_language: int = 300, spans: int = 16, chars: int = 64, hidden: int = 12, steps: int = 200, seed: int = 5) -> Network | None:
     """A network learnt from sample()."""
     rows = sample(docs, per_language, spans, chars, seed=seed).collect()
     rows = sorted((r for r in rows if r["part"]), key=lambda r: (r["lang"], r["doc_id"], r["number"], r["part"]))
