@@ -10,12 +10,12 @@ only contexts of the same anchor gram can hold equal windows.
    in whole; anchors of one context drop out. Of the others, each different
    context goes on, once.
 2. Index. The contexts of a shard's anchors are laid end to end with separators
-   of their own and sorted into a suffix array; its Burrows-Wheeler transform is
-   cut into runs, and the matches of the suffixes at the run ends with their
-   neighbours are sampled. Matching statistics are then streamed over the text:
-   from a sampled place on, a suffix's match with its neighbour is one shorter
-   with each byte until the next sample. Places that match for `width` bytes or
-   more start a repeated window.
+   of their own and sorted into a suffix array; of its Burrows-Wheeler transform
+   the runs are kept, with samples at both ends of each: the suffix's place and
+   its match with the neighbour outside the run. Arrays as long as the text are
+   needed to build this index, not to use it. Matching statistics are then
+   streamed from sample to sample; places that match for `width` bytes or more
+   start a repeated window.
 3. Marking. The windows' bytes are merged per document and removed.
 
 Anchors that make up more than about a thousandth of all contexts (common
@@ -35,6 +35,7 @@ before their names.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -253,8 +254,24 @@ def suffix_array(data: np.ndarray, part: np.ndarray, left: np.ndarray, keep: int
     return suffixes, kept
 
 
-def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Starts in each text of the strings of `width` bytes that start elsewhere in the texts too."""
+class RunIndex(NamedTuple):
+    """A run-compressed transform of texts, and samples at the ends of its runs.
+
+    heads and lengths are the runs' bytes (-1 where a text begins) and their
+    lengths. samples are two pairs, for run starts and run ends: the places of
+    the suffixes in text order, and how long each matches its neighbour outside
+    the run (0 below the width). ends are the texts' ends, with a separator
+    behind each text. All but ends grow with the runs, not with the texts.
+    """
+
+    heads: np.ndarray
+    lengths: np.ndarray
+    samples: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    ends: np.ndarray
+    width: int
+
+
+def run_index(texts: list[bytes], width: int) -> RunIndex:
     size = np.array([len(t) for t in texts], np.int64)
     n = int(size.sum()) + len(texts)
     ends = np.cumsum(size + 1) - 1  # the separators
@@ -268,44 +285,57 @@ def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     while keep * 2 <= width:
         keep *= 2
     order, rank = suffix_array(data, part, left, keep)
-    # the transform, its runs, and samples at their ends; separators differ, so each is a run
+    # the transform and its runs; separators differ, so each is a run
     before = order - 1
-    char = np.where((before >= 0) & plain[before], data[before], -1)
-    border = np.append(True, (char[1:] != char[:-1]) | (char[1:] < 0))
-    longest = np.zeros(n, np.int64)
+    char = np.where((before >= 0) & plain[before], data[before] - 1, -1).astype(np.int16)
+    border = np.append(True, (char[1:] != char[:-1]) | (char[1:] < 0))[:n]
+    begin = np.flatnonzero(border)
+    lengths = np.diff(np.append(begin, n))
     step = width - keep
-    for heads, other in ((np.flatnonzero(border), -1), (np.flatnonzero(np.append(border[1:], True)), 1)):
-        ok = (heads + other >= 0) & (heads + other < n)
-        at, to = order[heads[ok]], order[heads[ok] + other]
+    samples = []
+    for at_run, other in ((begin, -1), (begin + lengths - 1, 1)):
+        places, matches = order[at_run], np.zeros(len(at_run), np.int64)
+        ok = np.flatnonzero((at_run + other >= 0) & (at_run + other < n))
+        at, to = places[ok], order[at_run[ok] + other]
         same = (left[at] >= width) & (left[to] >= width)
-        at_, to_ = at[same], to[same]
-        match = (rank[at_] == rank[to_]) & (rank[at_ + step] == rank[to_ + step])
-        at_, to_ = at_[match], to_[match]
-        length = np.full(len(at_), width)
-        live = np.arange(len(at_))
+        ok, at, to = ok[same], at[same], to[same]
+        same = (rank[at] == rank[to]) & (rank[at + step] == rank[to + step])
+        ok, at, to = ok[same], at[same], to[same]
+        length = np.full(len(at), width)
+        live = np.arange(len(at))
         while len(live):  # the whole length of the sampled matches
-            x, y = at_[live] + length[live], to_[live] + length[live]
+            x, y = at[live] + length[live], to[live] + length[live]
             live = live[plain[x] & plain[y] & (data[x] == data[y])]
             length[live] += 1
-        sample = np.full(n, -1)
-        sample[order[heads]] = 0
-        sample[at_] = length
-        here = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), -1))
-        stream = np.where(here >= 0, sample[here] - (np.arange(n) - here), 0)
-        longest = np.maximum(longest, stream)
-    found = np.flatnonzero(longest >= width)
-    which = part[found]
-    local = found - (ends[which] - size[which])
-    cut = np.searchsorted(which, np.arange(len(texts) + 1))
-    return [local[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        matches[ok] = length
+        by = np.argsort(places)
+        samples.append((places[by], matches[by]))
+    return RunIndex(char[begin], lengths, tuple(samples), ends, width)
+
+
+def repeated(index: RunIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and size of the byte runs covered by strings of the index's width that start elsewhere too.
+
+    Matching statistics are streamed from sample to sample in the order of the
+    texts: from a sampled place on, the match with the neighbour is one shorter
+    with each byte until the next sample, so a sample decides on all places up
+    to the next one. Runs of one text may overlap.
+    """
+    ends, found = index.ends, []
+    for places, matches in index.samples:
+        count = np.minimum(matches - index.width + 1, np.diff(np.append(places, ends[-1:] + 1)))
+        live = count > 0
+        found.append((places[live], count[live] - 1 + index.width))
+    start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    which = np.searchsorted(ends, start)
+    begins = np.append(0, ends[:-1] + 1)[: len(ends)]
+    return which, start - begins[which], size
 
 
 def _indexed(table: pa.Table, width: int) -> pa.Table:
     key, start = table.column("key").to_numpy(), table.column("start").to_numpy()
-    found = repeated_starts(table.column("context").to_pylist(), width)
-    n = np.array([len(f) for f in found], np.int64)
-    places = np.concatenate(found) + np.repeat(start, n) if len(found) else np.zeros(0, np.int64)
-    rows = _marks(np.repeat(key, n), places, np.full(len(places), width))
+    which, local, size = repeated(run_index(table.column("context").to_pylist(), width))
+    rows = _marks(key[which], start[which] + local, size)
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["key", "starts", "sizes"])
 
@@ -361,19 +391,41 @@ def _removed(batches, with_text: bool):
 RESULTS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 64, with_text: bool = False, home_bytes: int = 8 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
+def _keyed(docs: DataFrame, text, aside: list, hashed) -> tuple:
+    """The texts' key, the table of documents with it, and each key's first document and number of documents.
+
+    Where different texts share a hash, their keys are drawn again from their
+    digests until no two do. Of n texts about n * n / 2**65 hashes are shared
+    (3 of 10**10), which bounds what is collected.
+    """
+    shared, turn = [], 0
+    sha = F.sha2(text.cast("binary"), 256)
+    while True:
+        key = F.when(hashed(text).isin(shared), F.xxhash64(sha, F.lit(turn))).otherwise(hashed(text)) if shared else hashed(text)
+        slim = docs.select("doc_id", *aside, key.alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), sha.alias("sha"))
+        slim = written(slim, "texts")
+        first = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")
+        copies = written(slim.groupBy("key").agg(first, F.count("*").alias("copies"), (F.min("sha") != F.max("sha")).alias("shared")), "copies")
+        clashes = [r["key"] for r in copies.where("shared").select("key").collect()]
+        if not clashes:
+            return key, slim, copies.drop("shared")
+        shared, turn = shared + clashes, turn + 1
+        dropped(slim), dropped(copies)
+
+
+def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 64, with_text: bool = False, home_bytes: int = 8 << 20, shard_bytes: int = 1 << 20, hashed=F.xxhash64) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text, with_text).
 
     Removed is each byte of a string of `width` bytes that also starts
     elsewhere in the texts; what remains is hashed. In kept, a character goes
     only if all its bytes go. (With with_text, text itself is read once more.)
+    hashed makes a text's key; texts that share one get others.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = docs.select(F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     aside = [column(c).alias(f"_carried{i}") for i, c in enumerate(carried)]  # names that can't clash
-    slim = docs.select("doc_id", *aside, F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    slim = written(slim, "texts")
+    key, slim, copies = _keyed(docs, text, aside, hashed)
+    known = docs.select(key.alias("key"), text.cast("binary").alias("text"))
     total = slim.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // home_bytes))
 
@@ -387,9 +439,8 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
     told = written(asked.groupBy("home").applyInArrow(lambda t: _settle(t, width), _MARK), "told")
     # the text of each key once: of the first of its documents
     lists = told.groupBy("key").agg(*[F.collect_list(F.when(F.col("kind") == 1, F.col(c))).alias(c) for c in ("starts", "sizes", "anchors")])
-    copies = slim.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.count("*").alias("copies"))
     wanted = lists.join(copies.select("key", "first"), "key")
-    own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    own = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first"), key.alias("key"), text.cast("binary").alias("text"))
     held = written(own.join(wanted, ["key", "first"]).select("key", "text", "starts", "sizes", "anchors"), "held")
     todo = held.where(F.size("starts") > 0)
     size = todo.select(F.sum(F.aggregate("starts", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) * 40)).alias("b")).first()["b"] or 0
@@ -406,7 +457,7 @@ def deduplicated(docs: DataFrame, *carried: str, width: int = 200, gram: int = 6
 
     # equal texts: each window of one is in the other
     if with_text:
-        slim = docs.select("doc_id", *aside, text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+        slim = docs.select("doc_id", *aside, text.alias("text"), key.alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     rows = slim.join(facts, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     gone = F.coalesce(gone, F.lit(False))

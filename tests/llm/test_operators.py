@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloakline.llm import ann, html_text, jaccard, langid, mixing, quality, sharding, suffix_dedup, warc
 from cloakline.llm import sentencepiece_dropout as sp
@@ -407,9 +408,27 @@ def test_run_length_index_alone():
     for _ in range(20):
         texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 90))) for _ in range(8)]
         texts += [texts[0][3:60], texts[1]]
-        got = suffix_dedup.repeated_starts(texts, 14)
+        index = suffix_dedup.run_index(texts, 14)
+        which, start, size = suffix_dedup.repeated(index)
+        got = [sorted({j for w, a, n in zip(which, start, size, strict=True) if w == i for j in range(a, a + n - 13)}) for i in range(len(texts))]
+        assert sum(index.lengths) == sum(map(len, texts)) + len(texts) and len(index.heads) == len(index.lengths)
         where = collections.Counter(t[j : j + 14] for t in texts for j in range(len(t) - 13))
-        assert [g.tolist() for g in got] == [[j for j in range(len(t) - 13) if where[t[j : j + 14]] > 1] for t in texts]
+        assert got == [[j for j in range(len(t) - 13) if where[t[j : j + 14]] > 1] for t in texts]
+
+
+def test_run_length_index_of_copies_grows_with_runs():
+    rng = random.Random(4)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(400))
+    runs = [len(suffix_dedup.run_index([passage[rng.randint(0, 9) :] + bytes([i]) for i in range(n)], 200).heads) for n in (10, 80)]
+    assert runs[1] < runs[0] + 4 * 70  # a few for each further copy of 400 bytes
+
+
+def test_texts_that_share_a_key_stay_apart(spark):
+    texts = [words(60, 1), words(60, 1), words(60, 2), words(60, 3) + words(60, 2), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [(t or "").encode() for t in texts]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.deduplicated(df, width=40, gram=12, hashed=lambda t: F.length(t).cast("long") % 2).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(removed(data, 40))}
 
 
 # ---------------------------------------------------------------- sharding
