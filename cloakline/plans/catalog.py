@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakline.functions import canonical, checksums, dates, fixed, text
 from cloakline.operators import detectors, evaluate, label, names, resolve, review, spans
-from cloakline.plans import deidentify, planted, planted_documents
+from cloakline.plans import deidentify, parts, planted, planted_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -309,7 +309,7 @@ def queries() -> dict:
         "check_pesel": check_pesel, "check_nip": check_nip, "check_regon": check_regon, "check_iban": check_iban, "check_id_card": check_id_card, "check_land_register": check_land_register,
         "canonical_forms": canonical_forms, "hmac_keys": hmac_keys, "shift_dates": shift_dates, "find_amounts": find_amounts, "surname_forms": surname_forms,
         "golden_recall": golden_recall, "overlap_folds": overlap_folds,
-    } | planted.queries() | planted_documents.queries()
+    } | parts.queries() | planted.queries() | planted_documents.queries()
 
 
 def oracle_sql() -> dict:
@@ -323,4 +323,4 @@ def oracle_sql() -> dict:
         "check_pesel": PESEL_SQL, "check_nip": NIP_SQL, "check_regon": REGON_SQL, "check_iban": IBAN_SQL, "check_id_card": ID_CARD_SQL, "check_land_register": LAND_SQL,
         "canonical_forms": CANONICAL_SQL, "shift_dates": SHIFT_SQL, "find_amounts": AMOUNT_SQL, "surname_forms": _inflection_sql(), "golden_recall": _golden_sql(),
         "detect_plates": PLATES_SQL, "page_layers": LAYERS_SQL, "reflow_documents": REFLOW_SQL, "hmac_keys": HMAC_SQL, "overlap_folds": OVERLAP_SQL,
-    } | planted.oracle_sql() | planted_documents.oracle_sql()
+    } | parts.oracle_sql() | planted.oracle_sql() | planted_documents.oracle_sql()
