@@ -8,11 +8,14 @@ the norm of the sum of its codewords are stored. A query's products with all
 codewords are a lookup table; a vector's score is the sum of its codewords'
 entries over its stored norm.
 
-Queries meet codes (no vectors) in blocks of bounded size. The best of a query
-over all blocks, `candidates` in all, are joined with their vectors and ranked
-by their exact cosine. A block sends what it holds of these but for a chance of
-about one in 10**9: blocks are cut by hash, so a block's number of them is that
-of a random draw, and it sends six standard deviations more.
+Queries meet codes in blocks of bounded size. What looks best there by the
+codes, `candidates` over all blocks, is ranked by its exact cosine, and the k-th
+of these is what others have to beat. A vector's code also tells how far from it
+the vector is: no angle to a query is smaller than the query's to the code less
+the vector's to the code. Each row of the block whose code leaves it a chance is
+ranked exactly too, so a block's k best are the true ones on any table, however
+badly the codebooks fit it; a bad fit only makes more rows to check. A block
+sends k rows a query.
 
 Equal vectors are equally near, and ties go to the smaller vec_id, so of more
 than k + 1 equal ones only the k + 1 smallest vec_ids can be among the k nearest
@@ -105,6 +108,16 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x with rows by powers of two, so that no square overflows or vanishes; cosines stay exactly."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / _norms(x)[:, None]
+
+
 def usable(table: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -129,87 +142,110 @@ def fit(rows: DataFrame, sample: int = 8192, seed: int = 7, **options) -> np.nda
     if not part.num_rows:
         part = rows.select("embedding").limit(1).toArrow()
     x = _vectors(part.column(0), len(part.column(0)[0]))
-    x = x / _norms(x)[:, None]
+    x = _unit(x)
     return codebooks(x[np.lexsort(x.T)], **options)
 
 
 def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """(vec_id, code, norm): a byte per codebook, and the norm of the sum of the codewords."""
+    """(vec_id, code, norm, near, embedding): a byte per codebook, the norm of the sum of the codewords, its cosine to the
+    vector, and the vector for the exact check."""
     size = books.shape[2]
 
     def run(batches):
         for batch in batches:
             x = _vectors(batch.column(1), size)
-            codes = encode(x / _norms(x)[:, None], books)
-            norms = _norms(decode(codes, books)).astype(np.float32)
+            x = _unit(x)
+            codes = encode(x, books)
+            sums = decode(codes, books)
+            norms = _norms(sums)
+            near = np.clip((x * sums).sum(1) / np.maximum(norms, 1e-12), -1, 1)
             blobs = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), blobs, pa.array(norms)], ["vec_id", "code", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs, pa.array(norms.astype(np.float32)), pa.array(near), batch.column(1)], ["vec_id", "code", "norm", "near", "embedding"])
 
-    return rows.mapInArrow(run, "vec_id long, code binary, norm float")
+    return rows.mapInArrow(run, "vec_id long, code binary, norm float, near double, embedding array<double>")
 
 
-def _met(queries: pa.Table, codes: pa.Table, books: np.ndarray, most: int) -> pa.Table:
-    """The `most` candidates of a block of codes for each query of a block, by lookup tables."""
-    names, kinds = ["query_id", "vec_id", "rough"], [pa.int64(), pa.int64(), pa.float32()]
+def _nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the k nearest rows of v, ties to the smaller id."""
+    score = (v * q).sum(1) / (_norms(v) * _norms(q[None])[0])
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        some = np.flatnonzero(score >= least)
+    else:
+        some = np.arange(len(score))
+    some = some[np.lexsort((ids[some], -score[some]))][:k]
+    return some, score[some]
+
+
+def _met(queries: pa.Table, codes: pa.Table, books: np.ndarray, most: int, k: int) -> pa.Table:
+    """The k nearest rows of a block for each query of a block: the best `most` by lookup tables, and all whose codes
+    leave them a chance to be nearer than those, ranked exactly."""
+    names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
     found: list[list] = [[], [], []]
     if queries.num_rows and codes.num_rows:
         m, words, size = books.shape
-        q = _vectors(queries.column("embedding"), size)
+        q, v = _scaled(_vectors(queries.column("embedding"), size)), _scaled(_vectors(codes.column("embedding"), size))
         ids = codes.column("vec_id").to_numpy()
         places = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), m).T.astype(np.int64) + words * np.arange(m)[:, None]
         scale = 1 / np.maximum(codes.column("norm").to_numpy(), 1e-12)
-        tables = ((q / _norms(q)[:, None]) @ books.reshape(m * words, size).T).astype(np.float32)
-        order = np.argsort(ids, kind="stable")  # so that the smaller of equal ones is found first
-        places, scale, ids = places[:, order], scale[order], ids[order]
-        for query, table in zip(queries.column("vec_id").to_pylist(), tables, strict=True):
+        near = codes.column("near").to_numpy()
+        far = np.sqrt(1 - near * near)
+        unit_q = q / _norms(q)[:, None]
+        tables = (unit_q @ books.reshape(m * words, size).T).astype(np.float32)
+        # what rounding in single precision may cost a row's score
+        slack = 1e-6 + m * m * 6e-8 * np.abs(tables).max() * scale
+        for i, (query, table) in enumerate(zip(queries.column("vec_id").to_pylist(), tables, strict=True)):
             rough = table[places[0]]
             for j in range(1, m):
                 rough += table[places[j]]
             rough *= scale
-            rough[ids == query] = -np.inf
+            own = ids == query
+            rough[own] = -np.inf
             n = min(most, len(ids))
-            least = np.partition(rough, len(ids) - n)[len(ids) - n]
-            near = np.append(np.flatnonzero(rough > least), np.flatnonzero(rough == least))[:n]
-            near = near[ids[near] != query]
-            found[0].append(np.full(len(near), query))
-            found[1].append(ids[near])
-            found[2].append(rough[near])
+            first = np.argpartition(rough, len(ids) - n)[len(ids) - n :]
+            first = first[~own[first]]
+            if not len(first):
+                continue
+            some, score = _nearest(q[i], v[first], ids[first], k)
+            if n < len(ids):
+                chance = np.ones(len(ids), bool)
+                if len(some) == k:
+                    t = min(1.0, max(-1.0, score[-1] - 1e-9))
+                    # the cosine of the sum of both angles; beyond half a turn any row has a chance
+                    chance = (rough >= t * near - (1 - t * t) ** 0.5 * far - slack) | (near <= 1e-6 - t)
+                chance &= ~own
+                first = np.flatnonzero(chance)
+                some, score = _nearest(q[i], v[first], ids[first], k)
+            found[0].append(np.full(len(some), query))
+            found[1].append(ids[first[some]])
+            found[2].append(score)
     return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(found, kinds, strict=True)], names)
 
 
-def _ranked(batches, size: int):
-    """(query_id, vec_id, score) of rows with both vectors."""
-    for batch in batches:
-        if batch.num_rows:
-            q, v = _vectors(batch.column(2), size), _vectors(batch.column(3), size)
-            exact = (q * v).sum(1) / (_norms(q) * _norms(v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], ["query_id", "vec_id", "score"])
-
-
-def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, books: np.ndarray, k: int = 5, candidates: int = 128, block: int = 1 << 16, block_queries: int = 2048) -> DataFrame:
+def search(index: DataFrame, vectors: DataFrame | None, queries: DataFrame, books: np.ndarray, k: int = 5, candidates: int = 128, block: int = 1 << 16, block_queries: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query (vec_id, embedding) by cosine.
 
-    index has the codes of vectors (vec_id, embedding); candidates is the number that is ranked exactly, for each
-    query over the whole table.
+    index has the rows of coded(); with vectors, only rows whose vec_id is in them are results. candidates is the number
+    that is ranked exactly before the check, for each query over the whole table. block is the number of rows of up to 64
+    components that meet at a time, fewer of longer ones; as every block of queries gets all rows, these blocks are large.
     """
     size, parallel = books.shape[2], int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = max(1, min(block, (1 << 22) // size))
+    block_queries = max(1, min(block_queries, (1 << 22) // size))
     queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    if vectors is not None:
+        index = index.join(vectors.select("vec_id").distinct(), "vec_id", "left_semi")
     n_index, n_queries = index.count(), queries.count()
     rows_in, sets_in = max(1, -(-n_index // block), min(parallel, n_index // 4096)), max(1, -(-n_queries // block_queries))
     share = min(candidates, n_index) / rows_in
-    most = min(candidates, math.ceil(share + 6 * share**0.5 + 16))
+    most = max(k + 1, min(candidates, math.ceil(share + 6 * share**0.5 + 16)))
     cell = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = index.withColumn("rows", cell(1, rows_in)).withColumn("set", each(sets_in))
     left = queries.withColumn("set", cell(2, sets_in)).withColumn("rows", each(rows_in))
-    met = left.groupBy("rows", "set").cogroup(right.groupBy("rows", "set")).applyInArrow(lambda a, b: _met(a, b, books, most), "query_id long, vec_id long, rough float")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
-    chosen = met.withColumn("nth", first).where(F.col("nth") <= candidates).select("query_id", "vec_id").distinct()
-    both = vectors.select("vec_id", F.col("embedding").alias("v")).join(chosen, "vec_id")
-    both = both.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    exact = both.select("query_id", "vec_id", "q", "v").mapInArrow(lambda x: _ranked(x, size), "query_id long, vec_id long, score double")
+    met = left.groupBy("rows", "set").cogroup(right.groupBy("rows", "set")).applyInArrow(lambda a, b: _met(a, b, books, most, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -219,4 +255,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     left = written(pruned(rows, 5), "vectors")
     # a query may be one of the copies that were left out
-    return search(written(coded(left, books), "codes"), left, rows.where(F.col("vec_id") % 50 == 0), books)
+    return search(written(coded(left, books), "codes"), None, rows.where(F.col("vec_id") % 50 == 0), books)

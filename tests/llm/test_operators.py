@@ -364,6 +364,26 @@ def test_neighbours_with_the_query_s_own_parameters(spark, tmp_path):
     assert ann.op7(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_neighbours_are_the_true_ones_whatever_the_codes(spark, tmp_path):
+    """Clusters far narrower than the codes' errors, a few outliers, and vectors too long or short to be squared."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12, 16))[rng.integers(0, 12, 6000)] + 0.004 * rng.normal(size=(6000, 16))
+    x[::500] = rng.normal(size=(12, 16))
+    x[1::7] *= 1e200
+    x[2::7] *= 1e-200
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = collections.defaultdict(list)
+    for r in ann.op7(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    y = x / np.abs(x).max(1)[:, None]
+    u = y / np.linalg.norm(y, axis=1)[:, None]
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        assert [v for v, _ in got[q]] == np.argsort(-s, kind="stable")[:5].tolist()
+        assert [score for _, score in got[q]] == pytest.approx([s[v] for v, _ in got[q]], abs=1e-12)
+
+
 # ---------------------------------------------------------------- suffix dedup
 
 
