@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakline.functions import fixed
 from cloakline.functions.text import looks_polish
 from cloakline.operators.detectors import BY_NAME, LEAK_CHECKED, detected
-from cloakline.operators.spans import spans
 
-TOKEN = f"[{fixed.UPPER}][{fixed.LOWER}]{{2,}}"
+_TOKEN = re.compile(f"[{fixed.UPPER}][{fixed.LOWER}]{{2,}}")
+_COMMON = frozenset(fixed.COMMON_CAPITALISED)
 
 
 class LeakDetectedError(Exception):
     """Identifiers were found in text that was to be published; names no values."""
 
 
+def _stripped(s: str) -> str:
+    """Without white space before the end, which a last line separator does not move."""
+    last = s[-1:] if s[-1:] in _SEPARATORS else ""
+    return s[: len(s) - len(last)].rstrip(" \t\n\r") + last
+
+
+def _inside(text: str, start: int) -> bool:
+    """Whether the last character before the word that is no white space ends no sentence."""
+    before = _stripped(text[max(start - 16, 0) : start]) or _stripped(text[:start])
+    return before != "" and (before[:-1] if before[-1] in _SEPARATORS else before)[-1:] not in tuple(".!?")
+
+
+_SEPARATORS = ("\u0085", "\u2028", "\u2029")
+_MISSED = pa.list_(pa.struct([("start", pa.int32()), ("token", pa.string()), ("note", pa.string())]))
+
+
+def missed_in(text: str | None, covered: list[tuple[int, int]]) -> list[dict]:
+    """(start, token, note) of the first of each capitalised word inside a sentence that no span covers."""
+    out: dict[str, dict] = {}
+    for m in _TOKEN.finditer(text or ""):
+        start, token = m.start(), m[0].lower()
+        if token not in out and token not in _COMMON and not any(a <= start < b for a, b in covered) and _inside(text, start):
+            out[token] = {"start": start, "token": token, "note": text[max(start - 25, 0) : m.end() + 25].strip(" ")}
+    return list(out.values())
+
+
 def potentially_missed(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, token, note): capitalised words inside sentences that no detection covers, each once in a
     block, with 25 characters around. found has text and resolved."""
-    text = F.col("text")
-
-    def inside(t):
-        """Whether the last character before the word that is no white space ends no sentence."""
-        strip = lambda s: F.regexp_replace(s, r"[ \t\n\r]+$", "")
-        near = strip(F.substring(text, F.greatest(t["start"] - 15, F.lit(1)), F.least(t["start"], F.lit(16))))
-        before = F.when(near != "", near).otherwise(strip(F.substring(text, F.lit(1), t["start"])))
-        return (before != "") & ~before.rlike(r"[.!?]$")
-
-    fine = F.filter(
-        spans(text, TOKEN),
-        lambda t: ~F.lower(t["value"]).isin(*fixed.COMMON_CAPITALISED) & ~F.exists("resolved", lambda d: (d["start"] <= t["start"]) & (t["start"] < d["end"])) & inside(t),
-    )
-    start = lambda t: F.greatest(t["start"] - 25, F.lit(0))
-    note = F.transform(fine, lambda t: F.struct(t["start"].alias("start"), F.lower(t["value"]).alias("token"), F.trim(F.substring(text, start(t) + 1, t["end"] + 25 - start(t))).alias("note")))
-    each = found.select(*keys, F.explode(note).alias("m"))
+    rows = found.select(*keys, "text", F.transform("resolved", lambda d: d["start"]).alias("a"), F.transform("resolved", lambda d: d["end"]).alias("b"))
+    n = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            texts, a, b = (batch.column(n + i).to_pylist() for i in range(3))
+            missed = [missed_in(t, list(zip(x or (), y or (), strict=True))) for t, x, y in zip(texts, a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(missed, _MISSED)], [*keys, "m"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][:n] + ["m array<struct<start:int,token:string,note:string>>"])
+    each = rows.mapInArrow(run, schema).select(*keys, F.explode("m").alias("m"))
     return each.groupBy(*keys, F.col("m.token").alias("token")).agg(F.min("m").alias("m")).select(*keys, "m.start", "token", "m.note")
 
 
