@@ -139,60 +139,81 @@ class Network:
         return self
 
     def ready(self) -> None:
-        """Tables for reading: a byte's gates with the bias, halved where a sigmoid becomes a tanh."""
+        """Tables for reading, by gate: a byte's input with the bias, and the state's weights, so that an exp of their sum
+        is what a gate's sigmoid, 1 / (1 + exp(-a)), or the candidate's tanh, 1 - 2 / (1 + exp(2 a)), is made from."""
         h = self.hidden
-        half = np.ones(3 * h, np.float32)
-        half[: 2 * h] = 0.5
-        self.fast = {d: ((self.w["x" + d] + self.w["b" + d]) * half, self.w["u" + d] * half) for d in "fb"}
+        scale = np.array([-1, -1, 2], np.float32)[:, None, None]
+        self.fast = {d: tuple(np.ascontiguousarray(w.reshape(-1, 3, h).transpose(1, 0, 2) * scale) for w in (self.w["x" + d] + self.w["b" + d], self.w["u" + d])) for d in "fb"}
+        o, c = self.w["o"], self.w["c"]
+        self.large = float((np.abs(o).sum(0) + np.abs(c)).max()) > 80  # exp of a logit might not be a number, as states are within 1
 
     def pooled(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Sums over its positions of the distributions of each window [start, end) of a text [low, high)."""
         out = np.zeros((len(start), len(self.languages)), np.float32)
         order = np.argsort(start - end, kind="stable")
-        for a in range(0, len(order), BATCH):
-            pick = order[a : a + BATCH]
-            out[pick] = self._windows(data, start[pick], end[pick], low[pick], high[pick])
+        with np.errstate(over="ignore"):  # a closed gate's exp may be infinite
+            for a in range(0, len(order), BATCH):
+                pick = order[a : a + BATCH]
+                out[pick] = self._windows(data, start[pick], end[pick], low[pick], high[pick])
         return out
 
+    def _step(self, d: str, codes: np.ndarray, s: np.ndarray, gates: np.ndarray, products: np.ndarray) -> None:
+        """Takes the states s over one byte each. Every gate has an array of its own, so all arithmetic is on whole rows."""
+        x, u = self.fast[d]
+        m = len(codes)
+        g, v = gates[:, :m], products[:, :m]
+        np.take(x, codes, axis=1, out=g, mode="clip")
+        np.matmul(s, u, out=v)
+        zr, c, vc = g[:2], g[2], v[2]
+        zr += v[:2]
+        np.exp(zr, out=zr)
+        zr += 1
+        vc /= zr[1]
+        c += vc
+        np.exp(c, out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        np.subtract(1, c, out=c)
+        s -= c
+        s /= zr[0]
+        s += c
+
     def _windows(self, data, start, end, low, high):
-        """Windows, longest first: those that a step still concerns are a prefix."""
+        """Windows, longest first: those that have a position are a prefix, in both directions."""
         h, n, length = self.hidden, len(start), end - start
-        most = int(length[0])
-        logits = np.zeros((most, n, len(self.languages)), np.float32)
-        every = np.arange(n)
+        most, k = int(length[0]), len(self.languages)
         # written over at each step, as fresh memory of this size costs more than the arithmetic
-        gates, products, zr, c, new = (np.empty((n, k * h), np.float32) for k in (3, 3, 2, 1, 1))
-        for d, output in (("f", self.w["o"][:h]), ("b", self.w["o"][h:])):
-            x, u = self.fast[d]
-            state = np.zeros((n, h), np.float32)
-            lead = LEAD if (low < start).any() or (end < high).any() else 0
-            for t in range(-lead, most):
-                m = n if t <= 0 else int(np.searchsorted(-length, -t, "left"))
-                at = start[:m] + t if d == "f" else end[:m] - 1 - t
-                g, v, zr_, c_, new_, s = gates[:m], products[:m], zr[:m], c[:m], new[:m], state[:m]
-                np.take(x, np.take(data, at, mode="clip"), axis=0, out=g, mode="clip")
-                np.matmul(s, u, out=v)
-                np.add(g[:, : 2 * h], v[:, : 2 * h], out=zr_)
-                np.tanh(zr_, out=zr_)
-                zr_ *= 0.5
-                zr_ += 0.5
-                np.multiply(v[:, 2 * h :], zr_[:, h:], out=c_)
-                c_ += g[:, 2 * h :]
-                np.tanh(c_, out=c_)
-                np.subtract(s, c_, out=new_)
-                new_ *= zr_[:, :h]
-                np.add(new_, c_, out=s)
-                if t < 0:  # before the text begins there is no state
-                    s *= ((at >= low) if d == "f" else (at < high))[:, None]
-                elif d == "f":
-                    np.matmul(s, output, out=logits[t, :m])
-                else:
-                    logits[length[:m] - 1 - t, every[:m]] += s @ output
-        logits += self.w["c"]
-        logits -= logits.max(2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits *= (np.arange(most)[:, None] < length[None, :])[:, :, None] / logits.sum(2, keepdims=True)
-        return logits.sum(0)
+        gates, products = (np.empty((3, n, h), np.float32) for _ in range(2))
+        logits, sums, share, total = np.empty((most, k, n), np.float32), np.empty((k, n), np.float32), np.empty(n, np.float32), np.zeros((k, n), np.float32)
+        longer = np.searchsorted(-length, -np.arange(most), "left")  # windows longer than each position
+        for d, inside, output in (("f", start > low, self.w["o"][:h]), ("b", end < high, self.w["o"][h:])):
+            state, output = np.zeros((n, h), np.float32), np.ascontiguousarray(output.T)
+            led = np.flatnonzero(inside)
+            if len(led):
+                s = np.zeros((len(led), h), np.float32)
+                for t in range(LEAD, 0, -1):
+                    at = start[led] - t if d == "f" else end[led] + t - 1
+                    self._step(d, np.take(data, at, mode="clip"), s, gates, products)
+                    s *= ((at >= low[led]) if d == "f" else (at < high[led]))[:, None]  # before the text begins there is no state
+                state[led] = s
+            for t in range(most) if d == "f" else range(most - 1, -1, -1):
+                m = int(longer[t])
+                s = state[:m]  # backwards, those that begin at this position still have the state of their lead
+                self._step(d, np.take(data, start[:m] + t), s, gates, products)
+                if d == "f":
+                    np.matmul(output, s.T, out=logits[t, :, :m])
+                    continue
+                e, p = sums[:, :m], share[:m]
+                np.matmul(output, s.T, out=e)
+                e += logits[t, :, :m]
+                e += self.w["c"][:, None]
+                if self.large:
+                    e -= e.max(0)
+                np.exp(e, out=e)
+                np.sum(e, axis=0, out=p)
+                e /= p
+                total[:, :m] += e
+        return total.T
 
 
 def windows(offsets: np.ndarray):
@@ -271,7 +292,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
         predict = predictor(net)
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(2))
-            for a, b in pieces(offsets, 2 << 20):
+            for a, b in pieces(offsets, 4 << 20):
                 names, scores = predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

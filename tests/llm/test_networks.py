@@ -68,6 +68,39 @@ def test_reading_is_the_plain_network():
         assert one[1][0] == pytest.approx(whole[i], abs=1e-5)
 
 
+def test_reading_needs_one_exp_a_gate(monkeypatch):
+    net, counts = network(), {"exp": 0, "tanh": 0}
+    data, offsets = arrow_bytes(pa.array([words(80, i) * 3 for i in range(5)] + ["x", ""], pa.string()))
+    start, end, _, low, high = langid.windows(offsets)
+
+    def counted(name, plain):
+        def call(x, *args, **kwargs):
+            counts[name] += np.size(x)
+            return plain(x, *args, **kwargs)
+
+        return call
+
+    for name in counts:
+        monkeypatch.setattr(np, name, counted(name, getattr(np, name)))
+    net.pooled(data, start, end, low, high)
+    # numpy's tanh takes twice the time of its exp; a lead is read only where a window does not begin with the text
+    steps = 2 * len(data) + langid.LEAD * ((start > low).sum() + (end < high).sum())
+    assert counts == {"exp": steps * 3 * net.hidden + len(data) * len(net.languages), "tanh": 0}
+
+
+@pytest.mark.parametrize("heavy", [1, 30, 3000])
+def test_gates_and_logits_of_any_size(heavy):
+    net = network()
+    net.w = {k: v * heavy for k, v in net.w.items()}
+    net.ready()
+    data, offsets = arrow_bytes(pa.array([words(9, 1), "x", words(200, 4)], pa.string()))
+    start, end, text, low, high = langid.windows(offsets)
+    got = np.zeros((3, 3))
+    with np.errstate(all="raise", under="ignore"):
+        np.add.at(got, text, net.pooled(data, start, end, low, high))
+    assert np.isfinite(got).all() and got.sum(1) == pytest.approx(np.diff(offsets), rel=1e-4)
+
+
 def test_gradients_of_the_input_and_output_matrices():
     rng = np.random.default_rng(0)
     net = langid.Network(3, ["a", "b"], 0)
